@@ -80,6 +80,10 @@ def _xorshift33(x: Column) -> Column:
     return _pair(x["hi"], x["lo"].bitwiseXOR(F.shiftright(x["hi"], 1)))
 
 
+def _mix(h: Column, factor: int) -> Column:
+    return let(h, lambda x: let(_xorshift33(x), lambda y: _times(y, factor)))
+
+
 def placement_hash(key: Column) -> Column:
     """struct(hi, lo) of the placement hash of a UTF-8 key; null for a null key."""
     latin = F.decode(F.encode(key, "UTF-8"), "ISO-8859-1")
@@ -92,7 +96,7 @@ def placement_hash(key: Column) -> Column:
 
     h = let(latin, fold)
     for factor in (MIX_FIRST, MIX_SECOND):
-        h = let(h, lambda x, f=factor: let(_xorshift33(x), lambda y: _times(y, f)))
+        h = _mix(h, factor)
     return F.when(key.isNotNull(), let(h, _xorshift33))
 
 
