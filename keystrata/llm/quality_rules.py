@@ -66,17 +66,16 @@ def _three(good: Column, bad: Column) -> Column:
 def rules() -> dict[str, Column]:
     """Votes; comparisons are products of whole numbers, so no division by zero and no rounding."""
     w, chars = F.col("n_words"), F.col("word_chars")
-    long_enough = w >= 20
     no = F.lit(False)
     return {
         "symbols": _three(no, 20 * F.col("n_symbols") > chars),
         "capitals": _three(no, 3 * F.col("n_upper") > chars),
         "word_length": _three(no, (chars < 2 * w) | (chars > 12 * w)),
         "length": _three(w >= 50, w < 20),
-        "repeated_words": _three((F.col("n_repeat_words") == 0) & long_enough, 4 * F.col("n_repeat_words") > w),
+        "repeated_words": _three(no, 10 * F.col("n_repeat_words") > 3 * w),
         "repeated_lines": _three(no, F.col("n_dup_lines") >= 3),
         # Distinct words over the root of all words hardly depends on a text's length.
-        "variety": _three((F.col("n_distinct") * F.col("n_distinct") >= 10 * w) & long_enough, F.col("n_distinct") * F.col("n_distinct") < 4 * w),
+        "variety": _three(no, F.col("n_distinct") * F.col("n_distinct") < 4 * w),
     }
 
 

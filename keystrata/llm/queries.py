@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cover_tree, grammar_store, mixing, packing, quality_rules, simhash
+from . import attention_mil, cover_tree, grammar_store, mixing, packing, quality_rules, sentence_spans, simhash
+from .common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,6 +38,12 @@ def op3_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_attention_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    scored = attention_mil.score(docs, attention_mil.fit(docs, read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op5_repair_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grammar_store.read_documents(grammar_store.write_shards(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
 
@@ -46,8 +53,14 @@ def op7_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = sentence_spans.dedup(read(spark, sf_dir, "documents"))
+    return r.select("doc_id", F.size("units").cast("bigint").alias("n_sentences"), F.size("removed").cast("bigint").alias("n_removed"), F.md5(F.col("kept_text").cast("binary")).alias("kept_md5"))
+
+
 def op10_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES |= {f.__name__: f for f in (op1_harmonic_packing, op2_pivotal_mixing, op3_weak_supervision, op5_repair_grammar, op7_simhash_tiles, op10_cover_tree)}
+QUERIES |= {f.__name__: f for f in (op1_harmonic_packing, op2_pivotal_mixing, op3_weak_supervision, op4_attention_mil, op5_repair_grammar, op7_simhash_tiles, op9_sentence_spans, op10_cover_tree)}
+ORACLES["op9_sentence_spans"] = sentence_spans.ORACLE
