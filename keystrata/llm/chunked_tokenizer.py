@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 #: White space as the vocabularies' pre-tokenizers see it (the Unicode property), fixed values.
 BLANK = "\t-\r \x85\xa0  -     　"
@@ -18,30 +19,74 @@ KEEPS_BLANKS = rf" ?[^{BLANK}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+"
 DROPS_BLANKS = rf"[^{BLANK}]+"
 
 
+#: Put between chunks that are encoded together, where one of these is a single id.
+MARKS = ("^", "~", "`", "=")
+TOGETHER = 64
+_CACHES: dict[tuple[str, str], dict[str, bytes]] = {}
+
+
 class ChunkedTokenizer:
-    def __init__(self, path: str, chunks: str, cache_size: int = 400_000):
+    """The cache belongs to the worker process and serves its next tasks too; full, it starts afresh."""
+
+    def __init__(self, path: str, chunks: str, cache_size: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         self.find = re.compile(chunks).findall
-        self.cache: dict[str, bytes] = {}
+        self.cache = _CACHES.setdefault((path, chunks), {})
         self.cache_size = cache_size
+        self.spaced = chunks == KEEPS_BLANKS
+        self.many = getattr(self.model, "encode_batch_fast", self.model.encode_batch)
+        self.mark = next((m for m in MARKS if len(self._ids(" " + m if self.spaced else m)) == 1), None)
+        self.mark_id = self._ids(" " + self.mark if self.spaced else self.mark)[0] if self.mark else None
+
+    def _ids(self, text: str) -> list[int]:
+        return self.model.encode(text, add_special_tokens=False).ids
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Encode new chunks: most together, apart by a mark; those that may hold it or join with it alone."""
+        if len(self.cache) + len(chunks) > self.cache_size:
+            self.cache.clear()
+        alone, joint = [], []
+        for c in chunks:
+            plain = self.mark and self.mark not in c and (c[0] == " " and len(c) > 1 if self.spaced else True)
+            (joint if plain else alone).append(c)
+        glue = f" {self.mark}" if self.spaced else f" {self.mark} "
+        for lo in range(0, len(joint), 32_768):
+            parts = [joint[i : i + TOGETHER] for i in range(lo, min(lo + 32_768, len(joint)), TOGETHER)]
+            for part, e in zip(parts, self.many([glue.join(p) for p in parts], add_special_tokens=False), strict=True):
+                ids = array("I", e.ids)
+                packed, at = ids.tobytes(), 0
+                cuts = [i for i, x in enumerate(ids) if x == self.mark_id]
+                if len(cuts) != len(part) - 1:  # a chunk of its own yields the mark's id
+                    alone += part
+                    continue
+                for c, cut in zip(part, [*cuts, len(ids)], strict=True):
+                    self.cache[c] = packed[4 * at : 4 * cut]
+                    at = cut + 1
+        for lo in range(0, len(alone), 16_384):
+            part = alone[lo : lo + 16_384]
+            for c, e in zip(part, self.many(part, add_special_tokens=False), strict=True):
+                self.cache[c] = array("I", e.ids).tobytes()
 
     def encode_packed(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        from array import array
-
-        found = [self.find(t) for t in texts]
-        cache = self.cache
-        missing = list({c for f in found for c in f if c not in cache})
-        if len(cache) + len(missing) > self.cache_size:
-            cache.clear()
-            missing = list({c for f in found for c in f})
-        encode = getattr(self.model, "encode_batch_fast", self.model.encode_batch)
-        for i in range(0, len(missing), 20_000):
-            part = missing[i : i + 20_000]
-            for c, e in zip(part, encode(part, add_special_tokens=False), strict=True):
-                cache[c] = array("I", e.ids).tobytes()
-        return [b"".join(map(cache.__getitem__, f)) for f in found]
+        get, out, again, missing = self.cache.get, [], [], set()
+        for i, t in enumerate(texts):
+            found = self.find(t)
+            ids = list(map(get, found))
+            if None in ids:
+                missing.update(c for c, v in zip(found, ids, strict=True) if v is None)
+                again.append((i, found))
+                out.append(b"")
+            else:
+                out.append(b"".join(ids))
+        if again:
+            if len(self.cache) + len(missing) > self.cache_size:  # it is about to start afresh
+                missing.update(c for _, found in again for c in found)
+            self._learn(list(missing))
+            for i, found in again:
+                out[i] = b"".join(map(self.cache.__getitem__, found))
+        return out

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attention_mil, cover_tree, grammar_store, mixing, packing, quality_rules, sentence_spans, simhash
+from . import attention_mil, cover_tree, grammar_store, kneser_ney, mixing, packing, quality_rules, sentence_spans, simhash
 from .common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,6 +53,10 @@ def op7_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.train_and_score(read(spark, sf_dir, "documents"))
+
+
 def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = sentence_spans.dedup(read(spark, sf_dir, "documents"))
     return r.select("doc_id", F.size("units").cast("bigint").alias("n_sentences"), F.size("removed").cast("bigint").alias("n_removed"), F.md5(F.col("kept_text").cast("binary")).alias("kept_md5"))
@@ -62,5 +66,5 @@ def op10_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES |= {f.__name__: f for f in (op1_harmonic_packing, op2_pivotal_mixing, op3_weak_supervision, op4_attention_mil, op5_repair_grammar, op7_simhash_tiles, op9_sentence_spans, op10_cover_tree)}
+QUERIES |= {f.__name__: f for f in (op1_harmonic_packing, op2_pivotal_mixing, op3_weak_supervision, op4_attention_mil, op5_repair_grammar, op7_simhash_tiles, op8_kneser_ney, op9_sentence_spans, op10_cover_tree)}
 ORACLES["op9_sentence_spans"] = sentence_spans.ORACLE
