@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attention_mil, cover_tree, grammar_store, kneser_ney, mixing, packing, quality_rules, sentence_spans, simhash
+from . import attention_mil, bwt_dedup, cover_tree, grammar_store, kneser_ney, mixing, packing, quality_rules, sentence_spans, simhash
 from .common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +48,11 @@ def op5_repair_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grammar_store.read_documents(grammar_store.write_shards(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
 
 
+def op6_bwt_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = bwt_dedup.dedup(read(spark, sf_dir, "documents"), keep=["doc_id"])
+    return r.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return r.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -66,5 +71,5 @@ def op10_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES |= {f.__name__: f for f in (op1_harmonic_packing, op2_pivotal_mixing, op3_weak_supervision, op4_attention_mil, op5_repair_grammar, op7_simhash_tiles, op8_kneser_ney, op9_sentence_spans, op10_cover_tree)}
+QUERIES |= {f.__name__: f for f in (op1_harmonic_packing, op2_pivotal_mixing, op3_weak_supervision, op4_attention_mil, op5_repair_grammar, op6_bwt_merge, op7_simhash_tiles, op8_kneser_ney, op9_sentence_spans, op10_cover_tree)}
 ORACLES["op9_sentence_spans"] = sentence_spans.ORACLE
