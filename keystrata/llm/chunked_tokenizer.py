@@ -26,9 +26,9 @@ _CACHES: dict[tuple[str, str], dict[str, bytes]] = {}
 
 
 class ChunkedTokenizer:
-    """The cache belongs to the worker process and serves its next tasks too; full, it starts afresh."""
+    """The cache belongs to the worker process and serves its next tasks too; full, it takes no more."""
 
-    def __init__(self, path: str, chunks: str, cache_size: int = 1_000_000):
+    def __init__(self, path: str, chunks: str, cache_size: int = 1_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -45,10 +45,9 @@ class ChunkedTokenizer:
     def _ids(self, text: str) -> list[int]:
         return self.model.encode(text, add_special_tokens=False).ids
 
-    def _learn(self, chunks: list[str]) -> None:
+    def _encode_new(self, chunks: list[str]) -> dict[str, bytes]:
         """Encode new chunks: most together, apart by a mark; those that may hold it or join with it alone."""
-        if len(self.cache) + len(chunks) > self.cache_size:
-            self.cache.clear()
+        new: dict[str, bytes] = {}
         alone, joint = [], []
         for c in chunks:
             plain = self.mark and self.mark not in c and (c[0] == " " and len(c) > 1 if self.spaced else True)
@@ -64,12 +63,13 @@ class ChunkedTokenizer:
                     alone += part
                     continue
                 for c, cut in zip(part, [*cuts, len(ids)], strict=True):
-                    self.cache[c] = packed[4 * at : 4 * cut]
+                    new[c] = packed[4 * at : 4 * cut]
                     at = cut + 1
         for lo in range(0, len(alone), 16_384):
             part = alone[lo : lo + 16_384]
             for c, e in zip(part, self.many(part, add_special_tokens=False), strict=True):
-                self.cache[c] = array("I", e.ids).tobytes()
+                new[c] = array("I", e.ids).tobytes()
+        return new
 
     def encode_packed(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -79,14 +79,14 @@ class ChunkedTokenizer:
             ids = list(map(get, found))
             if None in ids:
                 missing.update(c for c, v in zip(found, ids, strict=True) if v is None)
-                again.append((i, found))
+                again.append((i, found, ids))
                 out.append(b"")
             else:
                 out.append(b"".join(ids))
         if again:
-            if len(self.cache) + len(missing) > self.cache_size:  # it is about to start afresh
-                missing.update(c for _, found in again for c in found)
-            self._learn(list(missing))
-            for i, found in again:
-                out[i] = b"".join(map(self.cache.__getitem__, found))
+            new = self._encode_new(list(missing))
+            for i, found, ids in again:
+                out[i] = b"".join([new[c] if v is None else v for c, v in zip(found, ids, strict=True)])
+            if len(self.cache) < self.cache_size:
+                self.cache.update(new)
         return out
