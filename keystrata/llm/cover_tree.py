@@ -23,7 +23,7 @@ from .common import cut
 from .components import components
 
 #: Rows of the sample that the top of the tree is made from, and its most cells in all.
-SAMPLE, CELLS = 4096, 512
+SAMPLE, CELLS = 4096, 64
 CHUNK = 512
 FIRST_RADIUS = 2.0
 
@@ -123,11 +123,12 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     vectors of a label link with each other. Needs vec_id, label and embedding; other columns are ignored.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("label").cast("bigint").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("label").cast("bigint").alias("label"), "embedding")
     fine = F.expr("label is not null and embedding is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)")
     rows = cut(rows.withColumn("ok", F.coalesce(fine, F.lit(False))).withColumn("embedding", F.when(F.col("ok"), F.col("embedding"))), "rows")
     classes = rows.filter("ok").groupBy("label", "embedding").agg(F.min("vec_id").alias("first"), F.count("*").alias("m"))
     classes = cut(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    kind = dict(classes.dtypes)["embedding"]
     reach = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
     sample = classes.orderBy(F.xxhash64("label", "embedding"), "id").limit(SAMPLE).select("label", "embedding").collect()
     centres = _cells(sample, reach)
@@ -150,7 +151,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
                     dist[at] = d.min(1)
             yield pa.RecordBatch.from_arrays([ids, batch.column(1), batch.column(2), vecs, pa.array(np.diff(cuts).astype(np.int32)), pa.array(cell), pa.array(dist)], ["id", "label", "m", "embedding", "dims", "cell", "dist"])
 
-    placed = cut(classes.select("id", "label", "m", "embedding").mapInArrow(place, "id bigint, label bigint, m bigint, embedding array<double>, dims int, cell int, dist double"), "placed")
+    placed = cut(classes.select("id", "label", "m", "embedding").mapInArrow(place, f"id bigint, label bigint, m bigint, embedding {kind}, dims int, cell int, dist double"), "placed")
     cells = cut(placed.groupBy("label", "dims", "cell").agg(F.count("*").alias("n"), F.max("dist").alias("radius")).withColumn("parts", F.ceil(F.col("n") / CHUNK).cast("int")), "cells")
     # Cells made from the sample are at most CELLS and one per sampled label; their pairs are walked here.
     radii: dict = {}
