@@ -1,28 +1,88 @@
 """The tokenizers library behind a cache of text chunks.
 
 Both vocabularies split a text at white space before any merge, so the ids of a text are those of
-its chunks in order. A chunk is encoded by the library once while it stays in the cache, and a
-text's ids are joined from packed little-endian 32-bit strings.
+its chunks in order. A chunk is encoded by the library once while it stays in the cache.
+
+A column of texts is cut into chunks on its own buffer: numpy finds the borders, Arrow's dictionary
+encoding finds the distinct chunks, only these are looked up, and ids are gathered by place.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from array import array
 
-#: White space as the vocabularies' pre-tokenizers see it (the Unicode property), fixed values.
-BLANK = "\t-\r \x85\xa0  -     　"
-#: Chunks of a byte-level vocabulary: a run without blanks with one leading space, or blanks.
-KEEPS_BLANKS = rf" ?[^{BLANK}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+"
-#: Chunks of a vocabulary that drops white space.
-DROPS_BLANKS = rf"[^{BLANK}]+"
-
+import numpy as np
 
+#: Chunks of a byte-level vocabulary: a run without blanks with one leading space, or blanks.
+KEEPS_BLANKS = "keeps"
+#: Chunks of a vocabulary that drops white space: a run without blanks.
+DROPS_BLANKS = "drops"
 #: Put between chunks that are encoded together, where one of these is a single id.
 MARKS = ("^", "~", "`", "=")
 TOGETHER = 64
-_CACHES: dict[tuple[str, str], dict[str, bytes]] = {}
+#: Bytes of text that are cut at once.
+SLICE = 4_000_000
+
+
+class _Cache:
+    """Number of each chunk, and its ids in one growing array."""
+
+    def __init__(self):
+        self.number: dict[bytes, int] = {}
+        self.ids = np.zeros(1 << 16, np.uint32)
+        self.ends = np.zeros(1 << 14, np.int64)
+        self.used = 0
+
+    def add(self, chunks: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n = len(self.number)
+        self.ids = _with_room(self.ids, self.used + len(ids))
+        self.ends = _with_room(self.ends, n + len(chunks))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.ends[n : n + len(chunks)] = self.used + np.cumsum(sizes)
+        self.used += len(ids)
+        self.number.update(zip(chunks, range(n, n + len(chunks)), strict=True))
+
+    def get(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of numbered chunks, one after another, and how many each has."""
+        begins = np.where(numbers > 0, self.ends[numbers - 1], 0)
+        sizes = self.ends[numbers] - begins
+        return _gather(self.ids, begins, sizes), sizes
+
+
+def _with_room(a: np.ndarray, n: int) -> np.ndarray:
+    if n <= len(a):
+        return a
+    out = np.zeros(max(n, 2 * len(a)), a.dtype)
+    out[: len(a)] = a
+    return out
+
+
+def _gather(values: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Stretches of `values`, one after another."""
+    shift = begins - (np.cumsum(sizes) - sizes)
+    return values[np.repeat(shift, sizes) + np.arange(int(sizes.sum()))]
+
+
+#: White space of the Unicode property: one byte here, more in _blanks; fixed values.
+_IS_BLANK = np.zeros(256, bool)
+_IS_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_CACHES: dict[tuple[str, str], _Cache] = {}
+
+
+def _blanks(raw: np.ndarray) -> np.ndarray:
+    """Which bytes are white space, that of two and three bytes included."""
+    blank = _IS_BLANK[raw]
+    lead = np.flatnonzero((raw == 0xC2) | ((raw >= 0xE1) & (raw <= 0xE3)))
+    lead = lead[lead < len(raw) - 1]
+    a, b, c = raw[lead], raw[lead + 1], raw[np.minimum(lead + 2, len(raw) - 1)]
+    two = (a == 0xC2) & ((b == 0x85) | (b == 0xA0))
+    three = (a == 0xE1) & (b == 0x9A) & (c == 0x80) | (a == 0xE2) & (b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))
+    three |= (a == 0xE2) & (b == 0x81) & (c == 0x9F) | (a == 0xE3) & (b == 0x80) & (c == 0x80)
+    far = lead[two | three]
+    blank[far] = blank[far + 1] = True
+    blank[lead[three] + 2] = True
+    return blank
 
 
 class ChunkedTokenizer:
@@ -34,8 +94,7 @@ class ChunkedTokenizer:
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
-        self.find = re.compile(chunks).findall
-        self.cache = _CACHES.setdefault((path, chunks), {})
+        self.cache = _CACHES.setdefault((path, chunks), _Cache())
         self.cache_size = cache_size
         self.spaced = chunks == KEEPS_BLANKS
         self.many = getattr(self.model, "encode_batch_fast", self.model.encode_batch)
@@ -45,48 +104,111 @@ class ChunkedTokenizer:
     def _ids(self, text: str) -> list[int]:
         return self.model.encode(text, add_special_tokens=False).ids
 
-    def _encode_new(self, chunks: list[str]) -> dict[str, bytes]:
-        """Encode new chunks: most together, apart by a mark; those that may hold it or join with it alone."""
-        new: dict[str, bytes] = {}
+    def _encode_new(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new chunks, one after another, and how many each has.
+
+        Most are encoded together, apart by a mark; those that may hold it or join with it alone.
+        """
+        texts = [c.decode("utf-8") for c in chunks]
+        got: list = [None] * len(texts)
         alone, joint = [], []
-        for c in chunks:
+        for i, c in enumerate(texts):
             plain = self.mark and self.mark not in c and (c[0] == " " and len(c) > 1 if self.spaced else True)
-            (joint if plain else alone).append(c)
+            (joint if plain else alone).append(i)
         glue = f" {self.mark}" if self.spaced else f" {self.mark} "
         for lo in range(0, len(joint), 32_768):
             parts = [joint[i : i + TOGETHER] for i in range(lo, min(lo + 32_768, len(joint)), TOGETHER)]
-            for part, e in zip(parts, self.many([glue.join(p) for p in parts], add_special_tokens=False), strict=True):
+            for part, e in zip(parts, self.many([glue.join([texts[i] for i in p]) for p in parts], add_special_tokens=False), strict=True):
                 ids = array("I", e.ids)
-                packed, at = ids.tobytes(), 0
                 cuts = [i for i, x in enumerate(ids) if x == self.mark_id]
                 if len(cuts) != len(part) - 1:  # a chunk of its own yields the mark's id
                     alone += part
                     continue
+                at = 0
                 for c, cut in zip(part, [*cuts, len(ids)], strict=True):
-                    new[c] = packed[4 * at : 4 * cut]
+                    got[c] = ids[at:cut]
                     at = cut + 1
         for lo in range(0, len(alone), 16_384):
             part = alone[lo : lo + 16_384]
-            for c, e in zip(part, self.many(part, add_special_tokens=False), strict=True):
-                new[c] = array("I", e.ids).tobytes()
-        return new
+            for c, e in zip(part, self.many([texts[i] for i in part], add_special_tokens=False), strict=True):
+                got[c] = array("I", e.ids)
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
+        return np.frombuffer(b"".join(got), np.uint32), sizes
+
+    def _borders(self, raw: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """Where chunks begin. A vocabulary that drops blanks gets each word with those behind it."""
+        blank = _blanks(raw)
+        first = np.zeros(len(raw), bool)
+        first[begins] = True
+        after_blank = np.concatenate(([False], blank[:-1])) & ~first
+        if not self.spaced:
+            return np.flatnonzero(first | (after_blank & ~blank))
+        # A run of blanks is a chunk without its last one, if a word follows; that one is a chunk, or opens the word's if it is a space.
+        after_space = np.concatenate(([False], raw[:-1] == 32)) & ~first
+        start = first | (after_blank & ~blank & ~after_space) | (blank & ~after_blank)
+        last = np.flatnonzero(blank[:-1] & ~blank[1:] & ~first[1:])
+        for _ in range(2):  # back to the first byte of the character
+            last -= (raw[last] & 0xC0) == 0x80
+        start[last] = True
+        return np.flatnonzero(start)
+
+    def encode_with_end(self, texts, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of an Arrow string array without nulls, an end after each text, and the place behind each end."""
+        ids, sizes = self.encode_column(texts)
+        ends = np.cumsum(sizes + 1)
+        out = np.full(len(ids) + len(sizes), end_id, np.uint32)
+        inside = np.ones(len(out), bool)
+        inside[ends - 1] = False
+        out[inside] = ids
+        return out, ends
+
+    def encode_column(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of an Arrow string array without nulls, one text after another, and how many each text has."""
+        offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset).astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+        data = texts.buffers()[2] if len(texts) else None
+        whole = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+        ids, sizes, lo = [], [], 0
+        while lo < len(texts):
+            hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + SLICE, "right")) - 1)
+            got = self._encode_slice(whole[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            ids.append(got[0])
+            sizes.append(got[1])
+            lo = hi
+        return (np.concatenate(ids), np.concatenate(sizes)) if ids else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+
+    def _encode_slice(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        import pyarrow as pa
+
+        n = len(offsets) - 1
+        if not len(raw):
+            return np.zeros(0, np.uint32), np.zeros(n, np.int64)
+        some = np.flatnonzero(np.diff(offsets))
+        begins = offsets[some]
+        at = self._borders(raw, begins)
+        chunks = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.append(at, len(raw)).astype(np.int32)), pa.py_buffer(raw)]).dictionary_encode()
+        distinct = chunks.dictionary.to_pylist()
+        number = np.fromiter(map(self.cache.number.get, distinct, [-1] * len(distinct)), np.int64, len(distinct))
+        fresh, known = np.flatnonzero(number < 0), np.flatnonzero(number >= 0)
+        old_ids, old_sizes = self.cache.get(number[known]) if len(known) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        new = [distinct[i] for i in fresh.tolist()]
+        new_ids, new_sizes = self._encode_new(new)
+        if len(self.cache.number) < self.cache_size and new:
+            self.cache.add(new, new_ids, new_sizes)
+        size, begin = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+        size[known], size[fresh] = old_sizes, new_sizes
+        begin[known] = np.cumsum(old_sizes) - old_sizes
+        begin[fresh] = len(old_ids) + np.cumsum(new_sizes) - new_sizes
+        which = chunks.indices.to_numpy()
+        each = size[which]
+        ids = _gather(np.concatenate((old_ids, new_ids)), begin[which], each)
+        sizes = np.zeros(n, np.int64)
+        sizes[some] = np.add.reduceat(each, np.searchsorted(at, begins))
+        return ids, sizes
 
     def encode_packed(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        get, out, again, missing = self.cache.get, [], [], set()
-        for i, t in enumerate(texts):
-            found = self.find(t)
-            ids = list(map(get, found))
-            if None in ids:
-                missing.update(c for c, v in zip(found, ids, strict=True) if v is None)
-                again.append((i, found, ids))
-                out.append(b"")
-            else:
-                out.append(b"".join(ids))
-        if again:
-            new = self._encode_new(list(missing))
-            for i, found, ids in again:
-                out[i] = b"".join([new[c] if v is None else v for c, v in zip(found, ids, strict=True)])
-            if len(self.cache) < self.cache_size:
-                self.cache.update(new)
-        return out
+        import pyarrow as pa
+
+        ids, sizes = self.encode_column(pa.array(texts, pa.string()))
+        raw, ends = ids.tobytes(), np.cumsum(sizes)
+        return [raw[4 * a : 4 * b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]

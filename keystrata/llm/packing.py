@@ -18,6 +18,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,20 +73,21 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0,
 
         block = TaskContext.get().partitionId()
         tok = ChunkedTokenizer(tokenizer, KEEPS_BLANKS)
-        end = end_id.to_bytes(4, "little")
         ranks: dict[int, int] = {}
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for lo in range(0, len(ids), 512):
+            for lo in range(0, len(ids), 4096):
                 rows = []
-                for doc, packed in zip(ids[lo : lo + 512], tok.encode_packed(texts.slice(lo, 512).to_pylist()), strict=True):
-                    packed += end
-                    total = len(packed) // 4
-                    for start, size in pieces(total, capacity, slack):
+                made, ends = tok.encode_with_end(texts.slice(lo, 4096), end_id)
+                raw, first = made.view(np.uint8).data, 0
+                for doc, last in zip(ids[lo : lo + 4096], ends.tolist(), strict=True):
+                    for start, size in pieces(last - first, capacity, slack):
                         c = capacity // size
                         r = ranks.get(c, 0)
                         ranks[c] = r + 1
-                        rows.append((block, c, r, doc, start, size, zlib.crc32(packed[4 * start : 4 * (start + size)]), total))
+                        at = 4 * (first + start)
+                        rows.append((block, c, r, doc, start, size, zlib.crc32(raw[at : at + 4 * size]), last - first))
+                    first = last
                 types = [pa.int32(), pa.int32(), *[pa.int64()] * 6]
                 names = ["block", "cls", "rank", "doc_id", "start", "length", "ids_crc32", "doc_tokens"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
