@@ -167,15 +167,14 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 2, shard_tokens:
 
         part, shard = TaskContext.get().partitionId(), 0
         tok = ChunkedTokenizer(tokenizer, DROPS_BLANKS)
-        end = end_id.to_bytes(4, "little")
         doc_ids: list[int | None] = []
-        packed: list[bytes] = []
+        packed: list[np.ndarray] = []
         size = 0
 
         def close():
             nonlocal shard, size, doc_ids, packed
-            ends = np.cumsum([len(p) // 4 for p in packed])
-            body = compress(np.frombuffer(b"".join(packed), np.uint32), ends)
+            ends = np.cumsum([len(p) for p in packed])
+            body = compress(np.concatenate(packed), ends)
             null = np.array([d is None for d in doc_ids], np.uint8)
             names = np.array([d or 0 for d in doc_ids], np.int64)
             row = [[part], [shard], [len(doc_ids)], [int(ends[-1])], [struct.pack("<Q", len(doc_ids)) + names.tobytes() + null.tobytes() + body]]
@@ -184,11 +183,12 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 2, shard_tokens:
 
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for lo in range(0, len(ids), 512):
-                for doc, p in zip(ids[lo : lo + 512], tok.encode_packed(texts.slice(lo, 512).to_pylist()), strict=True):
+            for lo in range(0, len(ids), 4096):
+                made, ends = tok.encode_with_end(texts.slice(lo, 4096), end_id)
+                for doc, p in zip(ids[lo : lo + 4096], np.split(made, ends[:-1]), strict=True):
                     doc_ids.append(doc)
-                    packed.append(p + end)
-                    size += len(p) // 4 + 1
+                    packed.append(p)
+                    size += len(p)
                     if size >= shard_tokens:
                         yield close()
         if doc_ids:
