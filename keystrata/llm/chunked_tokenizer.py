@@ -104,36 +104,41 @@ class ChunkedTokenizer:
     def _ids(self, text: str) -> list[int]:
         return self.model.encode(text, add_special_tokens=False).ids
 
-    def _encode_new(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of new chunks, one after another, and how many each has.
+    def _encode_new(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of new chunks in the order they were encoded in, their ids one after another, and how many each has.
 
         Most are encoded together, apart by a mark; those that may hold it or join with it alone.
         """
         texts = [c.decode("utf-8") for c in chunks]
-        got: list = [None] * len(texts)
-        alone, joint = [], []
+        alone, joint, order, found, sizes = [], [], [], [], []
         for i, c in enumerate(texts):
             plain = self.mark and self.mark not in c and (c[0] == " " and len(c) > 1 if self.spaced else True)
             (joint if plain else alone).append(i)
         glue = f" {self.mark}" if self.spaced else f" {self.mark} "
         for lo in range(0, len(joint), 32_768):
             parts = [joint[i : i + TOGETHER] for i in range(lo, min(lo + 32_768, len(joint)), TOGETHER)]
+            good = []
             for part, e in zip(parts, self.many([glue.join([texts[i] for i in p]) for p in parts], add_special_tokens=False), strict=True):
                 ids = array("I", e.ids)
-                cuts = [i for i, x in enumerate(ids) if x == self.mark_id]
-                if len(cuts) != len(part) - 1:  # a chunk of its own yields the mark's id
+                ids.append(self.mark_id)
+                if ids.count(self.mark_id) == len(part):
+                    order += part
+                    good.append(ids)
+                else:  # a chunk of its own yields the mark's id
                     alone += part
-                    continue
-                at = 0
-                for c, cut in zip(part, [*cuts, len(ids)], strict=True):
-                    got[c] = ids[at:cut]
-                    at = cut + 1
+            ids = np.frombuffer(b"".join(good), np.uint32)
+            marks = ids == self.mark_id
+            sizes.append(np.diff(np.flatnonzero(marks), prepend=-1) - 1)
+            found.append(ids[~marks])
         for lo in range(0, len(alone), 16_384):
             part = alone[lo : lo + 16_384]
-            for c, e in zip(part, self.many([texts[i] for i in part], add_special_tokens=False), strict=True):
-                got[c] = array("I", e.ids)
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        return np.frombuffer(b"".join(got), np.uint32), sizes
+            one = [array("I", e.ids) for e in self.many([texts[i] for i in part], add_special_tokens=False)]
+            order += part
+            sizes.append(np.fromiter(map(len, one), np.int64, len(one)))
+            found.append(np.frombuffer(b"".join(one), np.uint32))
+        if not order:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        return np.array(order, np.int64), np.concatenate(found), np.concatenate(sizes)
 
     def _borders(self, raw: np.ndarray, begins: np.ndarray) -> np.ndarray:
         """Where chunks begin. A vocabulary that drops blanks gets each word with those behind it."""
@@ -190,8 +195,9 @@ class ChunkedTokenizer:
         number = np.fromiter(map(self.cache.number.get, distinct, [-1] * len(distinct)), np.int64, len(distinct))
         fresh, known = np.flatnonzero(number < 0), np.flatnonzero(number >= 0)
         old_ids, old_sizes = self.cache.get(number[known]) if len(known) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        order, new_ids, new_sizes = self._encode_new([distinct[i] for i in fresh.tolist()])
+        fresh = fresh[order]
         new = [distinct[i] for i in fresh.tolist()]
-        new_ids, new_sizes = self._encode_new(new)
         if len(self.cache.number) < self.cache_size and new:
             self.cache.add(new, new_ids, new_sizes)
         size, begin = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
