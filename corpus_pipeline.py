@@ -46,7 +46,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, vocabulary("byte_bpe_50k.json"))
+    # Workers still hold memory of the stages before, so the tokenizer gets a small cache.
+    return packing.pack(docs, vocabulary("byte_bpe_50k.json"), cache_size=100_000, at_once=1_000_000)
 
 
 STAGES = [

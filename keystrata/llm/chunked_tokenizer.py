@@ -21,8 +21,6 @@ DROPS_BLANKS = "drops"
 #: Put between chunks that are encoded together, where one of these is a single id.
 MARKS = ("^", "~", "`", "=")
 TOGETHER = 64
-#: Bytes of text that are cut at once.
-SLICE = 4_000_000
 
 
 class _Cache:
@@ -86,16 +84,19 @@ def _blanks(raw: np.ndarray) -> np.ndarray:
 
 
 class ChunkedTokenizer:
-    """The cache belongs to the worker process and serves its next tasks too; full, it takes no more."""
+    """The cache belongs to the worker process and serves its next tasks too; full, it takes no more.
 
-    def __init__(self, path: str, chunks: str, cache_size: int = 1_500_000):
+    `at_once` is how many bytes of text are cut at once. Both bound the memory that a worker keeps.
+    """
+
+    def __init__(self, path: str, chunks: str, cache_size: int = 1_500_000, at_once: int = 4_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         self.cache = _CACHES.setdefault((path, chunks), _Cache())
-        self.cache_size = cache_size
+        self.cache_size, self.at_once = cache_size, at_once
         self.spaced = chunks == KEEPS_BLANKS
         self.many = getattr(self.model, "encode_batch_fast", self.model.encode_batch)
         self.mark = next((m for m in MARKS if len(self._ids(" " + m if self.spaced else m)) == 1), None)
@@ -174,7 +175,7 @@ class ChunkedTokenizer:
         whole = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
         ids, sizes, lo = [], [], 0
         while lo < len(texts):
-            hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + SLICE, "right")) - 1)
+            hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + self.at_once, "right")) - 1)
             got = self._encode_slice(whole[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
             ids.append(got[0])
             sizes.append(got[1])

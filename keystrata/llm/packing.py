@@ -59,11 +59,12 @@ def _first_fit(capacity: int):
     return pack
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0, slack: int = 32) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0, slack: int = 32, cache_size: int = 1_500_000, at_once: int = 4_000_000) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A null or empty text is its end id alone. Repeated rows are packed once each; a null doc_id is
-    carried along. Other columns of `docs` are ignored. An empty table gives no rows.
+    carried along. Other columns of `docs` are ignored. An empty table gives no rows. `cache_size`
+    (chunks) and `at_once` (bytes of text) trade a worker's memory for time; ids are the same.
     """
     spark = docs.sparkSession
 
@@ -72,15 +73,15 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0,
         from pyspark import TaskContext
 
         block = TaskContext.get().partitionId()
-        tok = ChunkedTokenizer(tokenizer, KEEPS_BLANKS)
+        tok = ChunkedTokenizer(tokenizer, KEEPS_BLANKS, cache_size, at_once)
         ranks: dict[int, int] = {}
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for lo in range(0, len(ids), 4096):
+            for lo in range(0, len(ids), 2048):
                 rows = []
-                made, ends = tok.encode_with_end(texts.slice(lo, 4096), end_id)
+                made, ends = tok.encode_with_end(texts.slice(lo, 2048), end_id)
                 raw, first = made.view(np.uint8).data, 0
-                for doc, last in zip(ids[lo : lo + 4096], ends.tolist(), strict=True):
+                for doc, last in zip(ids[lo : lo + 2048], ends.tolist(), strict=True):
                     for start, size in pieces(last - first, capacity, slack):
                         c = capacity // size
                         r = ranks.get(c, 0)
