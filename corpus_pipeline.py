@@ -24,8 +24,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the smallest id stays."""
-    first = simhash.near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first"))
+    """Of each group linked by Jaccard 0.8 or more of five-word shingles, the document with the smallest id stays."""
+    first = simhash.similar(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first"))
     return docs.join(first, docs.doc_id.eqNullSafe(F.col("first")), "left_semi")
 
 
