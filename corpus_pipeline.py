@@ -34,9 +34,8 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     A cut may fall inside a character; what is left of that character is dropped.
     """
-    r = bwt_dedup.dedup(docs).filter((F.octet_length("kept") > 0) | (F.col("n_bytes") == 0))
+    r = bwt_dedup.dedup(docs, whole=True).filter((F.octet_length("kept") > 0) | (F.col("n_bytes") == 0))
     text = F.make_valid_utf8(F.col("kept").cast("string"))
-    text = F.when(F.col("n_removed") > 0, F.regexp_replace(text, "�", "")).otherwise(text)
     return r.withColumn("text", text).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 

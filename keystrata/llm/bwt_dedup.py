@@ -227,12 +227,12 @@ def _keyed(docs: DataFrame, keep: list[str]) -> DataFrame:
     return cut(rows.repartitionByRange("k").sortWithinPartitions("k", "b").withColumn("k", F.monotonically_increasing_id()), "keyed")
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, keep: list[str] | None = None) -> DataFrame:
+def dedup(docs: DataFrame, length: int = LENGTH, keep: list[str] | None = None, whole: bool = False) -> DataFrame:
     """`keep` columns (all but text, unless named), n_bytes, n_removed, n_spans and kept (the bytes left).
 
     Null and empty texts have no bytes. Rows that share a doc_id are documents of their own, in order
     of their texts; null ids come first. Texts shorter than `length` are never touched. An empty
-    table gives no rows.
+    table gives no rows. With `whole`, kept has only UTF-8 characters that lost no byte.
     """
     keep = [c for c in docs.columns if c != "text"] if keep is None else keep
     rows = _keyed(docs, keep)
@@ -258,7 +258,11 @@ def dedup(docs: DataFrame, length: int = LENGTH, keep: list[str] | None = None)
                 np.add.at(edge, s + m - 1 + length, -1)
                 gone = np.cumsum(edge[:-1]) > 0
                 spans = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(gone[0])
-                out.append((len(b), int(gone.sum()), spans, np.frombuffer(b, np.uint8)[~gone].tobytes()))
+                data, n = np.frombuffer(b, np.uint8), int(gone.sum())
+                if whole:
+                    character = np.cumsum((data & 0xC0) != 0x80)
+                    gone = np.bincount(character, gone)[character] > 0
+                out.append((len(b), n, spans, data[~gone].tobytes()))
             cols = list(zip(*out, strict=True)) if out else [()] * 4
             made = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], *made], names=[f.name for f in schema])

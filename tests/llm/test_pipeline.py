@@ -52,3 +52,37 @@ def test_near_copies_by_jaccard(spark, monkeypatch, strip):
     want = sorted(rows[i][0] for i in range(len(rows)) if rows[i][0] == least[root[i]])
     got = corpus_pipeline.simhash_near_dedup(spark, frame(spark, rows), "")
     assert sorted(r.doc_id for r in got.collect()) == want
+
+
+def whole_characters(rows, n=100):
+    """Texts, in order of id, without windows that start earlier and without characters that lost a byte."""
+    seen, out = set(), []
+    for i, t in sorted(rows, key=lambda r: r[0]):
+        b = (t or "").encode()
+        gone = np.zeros(len(b), bool)
+        for p in range(len(b) - n + 1):
+            if b[p : p + n] in seen:
+                gone[p : p + n] = True
+            seen.add(b[p : p + n])
+        at, left = 0, ""
+        for c in t or "":
+            size = len(c.encode())
+            left += "" if gone[at : at + size].any() else c
+            at += size
+        if left or not b:
+            out.append((i, left))
+    return out
+
+
+def suffix_rows():
+    cjk = "".join(chr(0x4E00 + int(x)) for x in RNG.integers(0, 4000, 60))
+    neighbours = chr(0x4E00) + cjk + chr(0x4E41), chr(0x4E01) + cjk + chr(0x4E81)  # cuts fall inside the outer characters
+    return [(0, None), (1, ""), (2, "x\ufffdy"), (3, neighbours[0]), (4, "real \ufffd here " + neighbours[1] + " and \ufffd there"), (5, neighbours[0])]
+
+
+def test_suffix_cuts_leave_replacement_characters_of_the_source(spark):
+    rows = suffix_rows()
+    got = corpus_pipeline.suffix_array_dedup(spark, frame(spark, rows), "").collect()
+    want = whole_characters(rows)
+    assert sorted((r.doc_id, r.text) for r in got) == want and all(r.n_chars == len(r.text) for r in got)
+    assert dict(want)[4].count("\ufffd") == 2 and dict(want)[4].startswith("real ") and len(dict(want)[4]) < 40
