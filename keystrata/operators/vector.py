@@ -13,12 +13,16 @@ DIM = 64
 TOKEN = "[a-z0-9]+"
 
 
+def trigrams(tok: str) -> Column:
+    """One trigram of `<token>` per character of the token."""
+    return F.transform(F.sequence(F.lit(1), F.length(tok)), lambda j: F.substring(F.concat(F.lit("<"), F.col(tok), F.lit(">")), j, 3))
+
+
 def features(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc, feature, weight): `w:token` weighs 1, `g:trigram` of `<token>` weighs 0.5; counts summed."""
     tokens = docs.select(F.col(doc_id).alias("doc"), F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(TOKEN), F.lit(0))).alias("tok"))
     tokens = tokens.groupBy("doc", "tok").agg(F.count("*").alias("n"))
-    wrapped = F.concat(F.lit("<"), "tok", F.lit(">"))
-    grams = F.transform(F.sequence(F.lit(1), F.length("tok")), lambda j: F.struct(F.concat(F.lit("g:"), F.substring(wrapped, j, 3)).alias("f"), F.lit(0.5).alias("w")))
+    grams = F.transform(trigrams("tok"), lambda g: F.struct(F.concat(F.lit("g:"), g).alias("f"), F.lit(0.5).alias("w")))
     word = F.array(F.struct(F.concat(F.lit("w:"), "tok").alias("f"), F.lit(1.0).alias("w")))
     rows = tokens.select("doc", "n", F.explode(F.concat(word, grams)).alias("x"))
     return rows.select("doc", F.col("x.f").alias("feature"), (F.col("x.w") * F.col("n")).alias("weight"))

@@ -224,8 +224,13 @@ def _topk_text(spark, d):
 
 @query("text_trigrams", "WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS tok FROM documents) SELECT tok, list_transform(range(1, length(tok) + 1), lambda j: substr('<' || tok || '>', j::INT, 3)) AS grams FROM t WHERE length(tok) <= 4")
 def _trigrams(spark, d):
-    tok = table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(vector.TOKEN), F.lit(0))).alias("tok")).distinct().filter(F.length("tok") <= 4)
-    return tok.select("tok", F.transform(F.sequence(F.lit(1), F.length("tok")), lambda j: F.substring(F.concat(F.lit("<"), "tok", F.lit(">")), j, 3)).alias("grams"))
+    return _all_trigrams(spark, d).filter(F.length("tok") <= 4)
+
+
+@query("text_trigrams_all", "WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS tok FROM documents) SELECT tok, list_transform(range(1, length(tok) + 1), lambda j: substr('<' || tok || '>', j::INT, 3)) AS grams FROM t")
+def _all_trigrams(spark, d):
+    tok = table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(vector.TOKEN), F.lit(0))).alias("tok")).distinct()
+    return tok.select("tok", vector.trigrams("tok").alias("grams"))
 
 
 @query("search_tiers", """SELECT p_partkey, p_name, CASE WHEN starts_with(lower(p_name), 'ar') THEN 0 WHEN contains(lower(p_name), 'ar') THEN 1 WHEN regexp_matches(lower(p_name), 'a.*r') THEN 2 WHEN contains(lower(p_brand), 'ar') THEN 3 END AS tier

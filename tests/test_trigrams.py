@@ -1,0 +1,13 @@
+"""Trigrams of tokens of every length."""
+
+from keystrata.plans.catalog import QUERIES
+
+
+def test_long_tokens_have_trigrams(spark, tmp_path):
+    rows = [("The longest2 TOKEN",), ("a",), ("",), (None,), ("the " + "x" * 50,)]
+    spark.createDataFrame(rows, "text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = {t: [f"<{t}>"[i : i + 3] for i in range(len(t))] for t in ("the", "longest2", "token", "a", "x" * 50)}
+    got = QUERIES["text_trigrams_all"](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {r.tok: r.grams for r in got} == want
+    short = QUERIES["text_trigrams"](spark, str(tmp_path)).collect()
+    assert {r.tok: r.grams for r in short} == {t: g for t, g in want.items() if len(t) <= 4}
