@@ -62,14 +62,19 @@ def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.train_and_score(read(spark, sf_dir, "documents"))
 
 
-def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = sentence_spans.dedup(read(spark, sf_dir, "documents"))
+def op9_sentence_spans(spark: SparkSession, sf_dir: str, by_content: bool = False) -> DataFrame:
+    r = sentence_spans.dedup(read(spark, sf_dir, "documents"), by_content=by_content)
     return r.select("doc_id", F.size("units").cast("bigint").alias("n_sentences"), F.size("removed").cast("bigint").alias("n_removed"), F.md5(F.col("kept_text").cast("binary")).alias("kept_md5"))
 
 
+def op9_content_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_sentence_spans(spark, sf_dir, by_content=True)
+
+
 def op10_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES |= {f.__name__: f for f in (op1_harmonic_packing, op2_pivotal_mixing, op3_weak_supervision, op4_attention_mil, op5_repair_grammar, op6_bwt_merge, op7_simhash_tiles, op8_kneser_ney, op9_sentence_spans, op10_cover_tree)}
+QUERIES |= {f.__name__: f for f in (op1_harmonic_packing, op2_pivotal_mixing, op3_weak_supervision, op4_attention_mil, op5_repair_grammar, op6_bwt_merge, op7_simhash_tiles, op8_kneser_ney, op9_sentence_spans, op9_content_spans, op10_cover_tree)}
 ORACLES["op9_sentence_spans"] = sentence_spans.ORACLE
+ORACLES["op9_content_spans"] = sentence_spans.ORACLE_BY_CONTENT

@@ -5,6 +5,9 @@ words into runs of so many, counted from its start, so that a long sentence is s
 Every run of `span` consecutive units is hashed (96 bits); runs that occur more than once keep their
 first occurrence, by (doc_id, place), and every unit that another occurrence covers goes. Counting combines
 before its shuffle and the join back is a plain equi-join, which Spark splits where a span is hot.
+
+With `by_content`, a long sentence ends its runs after words whose md5 ends in one of ENDINGS (one in
+four), at MOST_WORDS words at most, so that a passage has the same units at any offset.
 """
 
 from __future__ import annotations
@@ -16,27 +19,36 @@ from .common import SPACE
 
 SENTENCE = r"[^.!?\n]*[.!?]+|[^.!?\n]+"
 MOST_WORDS = 16
+ENDINGS = ("0", "4", "8", "c")
+#: Words up to one that a line end follows, in words joined by spaces.
+RUN = rf"(?:[^ \n]+ ){{0,{MOST_WORDS - 1}}}[^ \n]+"
 
 
-def units(text: Column) -> Column:
+def units(text: Column, by_content: bool = False) -> Column:
     """Sentences, long ones cut, words joined by one space; nothing for a text without words."""
 
     def pieces(s):
         words = F.array_remove(F.split(s, SPACE), "")
         return F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / MOST_WORDS).cast("int")), lambda k: F.array_join(F.slice(w, k * MOST_WORDS + 1, MOST_WORDS), " "))))[0]
 
-    found = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(SENTENCE), F.lit(0)), pieces)
+    def content_pieces(s):
+        marked = lambda w: F.when(F.substring(F.md5(w.cast("binary")), 32, 1).isin(*ENDINGS), F.concat(w, F.lit("\n"))).otherwise(w)
+        runs = lambda w: F.regexp_extract_all(F.array_join(F.transform(w, marked), " "), F.lit(RUN), F.lit(0))
+        words = F.array_remove(F.split(s, SPACE), "")
+        return F.transform(F.array(words), lambda w: F.when(F.size(w) > MOST_WORDS, runs(w)).when(F.size(w) > 0, F.array(F.array_join(w, " "))))[0]
+
+    found = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(SENTENCE), F.lit(0)), content_pieces if by_content else pieces)
     return F.flatten(F.filter(found, lambda x: x.isNotNull()))
 
 
-def dedup(docs: DataFrame, span: int = 3) -> DataFrame:
+def dedup(docs: DataFrame, span: int = 3, by_content: bool = False) -> DataFrame:
     """doc_id, units, removed (places from 0, in order) and kept_text (units left, one a line).
 
     Rows alike in doc_id and text count as one document, and neither copy removes the other. A text
     with fewer than `span` units is left alone; null and empty texts have none. Null doc_ids come
     first. Other columns are ignored.
     """
-    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("th"), units(F.col("text")).alias("units"))
+    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("th"), units(F.col("text"), by_content).alias("units"))
     runs = F.expr(f"transform(sequence(1, size(units) - {span - 1}), i -> named_struct('i', i - 1, 'h', xxhash64(slice(units, i, {span})), 'g', hash(slice(units, i, {span}))))")
     spans = d.filter(F.size("units") >= span).select("doc_id", "th", F.explode(runs).alias("r")).select("doc_id", "th", "r.*")
     place = F.struct("doc_id", "th", "i")
@@ -62,3 +74,11 @@ r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY u[i + 1 : i + 3] ORDER B
 c AS (SELECT doc_id, list_sort(list_distinct(flatten(list([i, i + 1, i + 2])))) AS gone FROM r WHERE r > 1 GROUP BY doc_id)
 SELECT u.doc_id, len(u) AS n_sentences, coalesce(len(gone), 0) AS n_removed,
  md5(array_to_string(list_transform(list_filter(range(0, len(u)), lambda i: NOT list_contains(coalesce(gone, []), i)), lambda i: u[i + 1]), chr(10))) AS kept_md5 FROM u LEFT JOIN c USING (doc_id)"""
+
+_WORDS = "list_filter(string_split_regex(s, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+#: The same with runs that end by content; what follows the units is as above.
+ORACLE_BY_CONTENT = f"""WITH u AS (SELECT doc_id, list_filter(flatten(list_transform(regexp_extract_all(coalesce(text, ''), '[^.!?\\n]*[.!?]+|[^.!?\\n]+'),
+ lambda s: CASE WHEN len({_WORDS}) > {MOST_WORDS}
+ THEN regexp_extract_all(array_to_string(list_transform({_WORDS}, lambda w: CASE WHEN right(md5(w), 1) IN {ENDINGS} THEN w || chr(10) ELSE w END), ' '), '{RUN}')
+ ELSE [array_to_string({_WORDS}, ' ')] END)), lambda x: x <> '') AS u FROM documents),
+""" + ORACLE[ORACLE.index("s AS (SELECT") :]
