@@ -52,12 +52,16 @@ def split_statements(text: str) -> list[str]:
     return [s.strip() for s in [*out, cur] if s.strip()]
 
 
+#: The most rows that Spark renders, which is the most an array holds.
+ALL = 2**31 - 17
+
+
 def run_sql(spark: SparkSession, text: str, out=sys.stdout, err=sys.stderr) -> int:
     """Run statements in turn; 0 when all succeeded, 1 after a query error."""
     code = 0
     for statement in split_statements(text):
         try:
-            print(spark.sql(statement)._show_string(1000, False), file=out)
+            print(spark.sql(statement)._show_string(ALL, False), file=out)
         except (AnalysisException, ParseException) as e:
             print(f"ERROR: {e.getMessage() if hasattr(e, 'getMessage') else e}", file=err)
             code = 1

@@ -1,0 +1,12 @@
+"""The SQL shell shows results whole."""
+
+import io
+
+from keystrata.sources.shell import run_sql
+
+
+def test_all_rows_are_shown(spark):
+    out = io.StringIO()
+    assert run_sql(spark, "select id from range(2500)", out=out) == 0
+    shown = [int(x.strip("| ")) for x in out.getvalue().splitlines() if x.strip("| ").isdigit()]
+    assert shown == list(range(2500)) and "only showing" not in out.getvalue()
