@@ -1,20 +1,22 @@
 """Embedding near-duplicates: exact threshold pairs by dual traversal of cover trees.
 
-On unit vectors, cosine >= t is distance <= sqrt(2 - 2t). A cover tree has nested levels whose radii
-halve; two nodes whose centres are further apart than their covering radii and the distance together
-hold no pair. The top of the tree is built from a bounded sample and cuts each label into cells;
-the driver walks it twice over (a few thousand nodes at most) and keeps the pairs of cells that may hold pairs. Cells
-are dealt in chunks of at most CHUNK vectors or so, and a pair of chunks is one task's unit: it builds both
-chunks' trees and walks them together, level by level.
-
-Every distinct vector lies in exactly one chunk, so every pair is seen in exactly one unit, and
-links are counted there with the multiplicities of repeated vectors.
+On unit vectors, cosine >= t is distance <= sqrt(2 - 2t), called the reach. A cover tree has nested
+levels whose radii halve; two nodes whose centres are further apart than their covering radii and the
+reach together hold no pair, so the traversal of two trees drops them with all below.
+
+The upper levels are Spark's. The vectors of a label are a unit; a unit of more than CHUNK vectors is
+divided by centres that its own bounded sample gives, and so on down, so that cells are as many as the
+data need. A vector lives in the cell of its nearest centre and visits a later cell only if that
+cell's covering radius, and the plane half-way between the two centres, leave room for a vector within
+the reach. A pair within the reach meets in exactly one cell with one of the two at home; `away`
+marks the levels at which a vector is a visitor, and a pair away at one level together is not counted.
+Where the sample shows that dividing would not pay, as in vectors without any clusters, or in one tight
+cluster, the unit is dealt in chunks instead, and pairs of chunks are compared. Both ways see every
+pair once; a task holds at most two chunks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,97 +24,279 @@ from pyspark.sql import functions as F
 from .common import cut
 from .components import components
 
-#: Rows of the sample that the top of the tree is made from, and its most cells in all.
-SAMPLE, CELLS = 4096, 64
-CHUNK = 512
+#: Most vectors that a task takes at once from one side, vectors sampled to divide a unit, and its cells.
+CHUNK, SAMPLE, CELLS = 4096, 1024, 64
+#: Levels of division in Spark; what is left then is dealt in chunks.
+DEPTH = 24
 FIRST_RADIUS = 2.0
+SLACK = 1e-6
+BLOCK = 1024
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (a @ b.T)))
 
 
+def unit_vectors(rows: np.ndarray) -> np.ndarray:
+    """Rows of length one; each is first scaled by its largest component, so that no square over- or underflows."""
+    rows = rows.astype(np.float64)
+    rows = rows / np.abs(rows).max(1, keepdims=True)
+    return rows / np.sqrt((rows * rows).sum(1, keepdims=True))
+
+
+def net(x: np.ndarray, radius: float, most: int, seeds: np.ndarray | None = None) -> np.ndarray | None:
+    """Places of points that are more than `radius` apart and cover all; None if that takes more than `most`.
+
+    `seeds` are such points of a coarser net, which this one contains. Candidates come in blocks: a
+    block is thinned among itself and then covers what it can, so no full matrix arises.
+    """
+    chosen = [] if seeds is None else seeds.tolist()
+    free = np.ones(len(x), bool)
+    for lo in range(0, len(chosen), BLOCK):
+        free &= ~_covered(x, x[chosen[lo : lo + BLOCK]], radius)
+    while True:
+        block = np.flatnonzero(free)[: BLOCK // 4]
+        if not len(block):
+            return np.array(chosen, np.int64)
+        d, taken = distances(x[block], x[block]), []
+        open_ = np.ones(len(block), bool)
+        for i in range(len(block)):
+            if open_[i]:
+                taken.append(i)
+                open_ &= d[i] > radius
+        chosen += block[taken].tolist()
+        if len(chosen) > most:
+            return None
+        free &= ~_covered(x, x[block[taken]], radius)
+        free[block] = False
+
+
+def _covered(x: np.ndarray, centres: np.ndarray, radius: float) -> np.ndarray:
+    return np.concatenate([(distances(x[lo : lo + BLOCK], centres) <= radius).any(1) for lo in range(0, len(x), BLOCK)])
+
+
+def nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    got = [(d.argmin(1), d.min(1)) for d in (distances(x[lo : lo + BLOCK], centres) for lo in range(0, len(x), BLOCK))]
+    return np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
+
+
 class CoverTree:
-    """Nested levels over unit vectors: level i's nodes are FIRST_RADIUS / 2^i apart, and cover all below."""
-
-    def __init__(self, x: np.ndarray, smallest: float, most: int | None = None):
-        self.x = x
-        n, d = len(x), distances(x, x)
-        radius, net = FIRST_RADIUS, np.zeros(0, np.int64)
-        self.levels: list[np.ndarray] = []
-        while n:
-            free = ~(d[net] <= radius).any(0) if len(net) else np.ones(n, bool)
-            added = []
-            while free.any() and (most is None or len(net) + len(added) < most):
-                i = int(np.argmax(free))
-                added.append(i)
-                free &= d[i] > radius
-            net = np.concatenate((net, np.array(added, np.int64)))
-            self.levels.append(net)
-            if radius <= smallest or len(net) == n or most is not None and len(net) >= most:
+    """Nested levels over unit vectors: level i's nodes are FIRST_RADIUS / 2^i apart, and cover all below.
+
+    Points are kept in an order in which each node's points follow each other: `order` gives their
+    places, `levels[i]` the centres, first points, ends and covering radii of level i, and `below[i]`
+    the first node of level i + 1 under each node. Levels end at `smallest`, or where the next would
+    have more than an eighth of the points as nodes and so prune next to nothing.
+    """
+
+    def __init__(self, x: np.ndarray, smallest: float):
+        nets, radius, seeds = [], FIRST_RADIUS, None
+        while len(x):
+            seeds = net(x, radius, max(1, len(x) // 8), seeds)
+            if seeds is None:
+                break
+            nets.append(seeds)
+            if radius <= smallest:
                 break
             radius /= 2
-        if n and most is None and len(self.levels[-1]) < n:
-            rest = np.setdiff1d(np.arange(n), self.levels[-1])
-            self.levels.append(np.concatenate((self.levels[-1], rest)))
-        # Parents are places in the level above; a node is its own parent while it stays a centre.
-        self.parents = [np.zeros(len(self.levels[0]), np.int64)] if self.levels else []
-        self.parents += [np.argmin(d[np.ix_(low, up)], 1) for up, low in zip(self.levels, self.levels[1:], strict=False)]
-        self.radii = self._radii(d) if self.levels else []
-
-    def _radii(self, d: np.ndarray) -> list[np.ndarray]:
-        """Largest distance from each node to what lies below it."""
-        last = self.levels[-1]
-        place = np.arange(len(last))
-        out = [np.zeros(len(last))]
-        for i in range(len(self.levels) - 1, 0, -1):
-            place = self.parents[i][place]
-            r = np.zeros(len(self.levels[i - 1]))
-            np.maximum.at(r, place, d[last, self.levels[i - 1][place]])
-            out.append(r)
-        return out[::-1]
-
-
-def dual_pairs(a: CoverTree, b: CoverTree, cosine: float) -> np.ndarray:
-    """Boolean matrix over the points of a and b: cosine at or above the threshold. Levels go down together."""
-    reach = float(np.sqrt(max(0.0, 2 - 2 * cosine))) + 1e-6
-    out = np.zeros((len(a.x), len(b.x)), bool)
-    if not len(a.x) or not len(b.x):
-        return out
-    alive = np.ones((len(a.levels[0]), len(b.levels[0])), bool)
-    for i in range(max(len(a.levels), len(b.levels))):
-        ia, ib = min(i, len(a.levels) - 1), min(i, len(b.levels) - 1)
-        if i:
-            pa = a.parents[ia] if i < len(a.levels) else np.arange(len(a.levels[ia]))
-            pb = b.parents[ib] if i < len(b.levels) else np.arange(len(b.levels[ib]))
-            alive = alive[np.ix_(pa, pb)]
-        rows, cols = np.flatnonzero(alive.any(1)), np.flatnonzero(alive.any(0))
-        if not len(rows):
-            return out
-        near = distances(a.x[a.levels[ia][rows]], b.x[b.levels[ib][cols]]) <= reach + a.radii[ia][rows][:, None] + b.radii[ib][cols][None, :]
-        alive[np.ix_(rows, cols)] &= near
-        alive[np.setdiff1d(np.arange(alive.shape[0]), rows)] = False
-    la, lb = a.levels[-1], b.levels[-1]
-    i, j = np.nonzero(alive)
-    for s in range(0, len(i), 65536):
-        p, q = la[i[s : s + 65536]], lb[j[s : s + 65536]]
-        out[p, q] = np.einsum("ij,ij->i", a.x[p], b.x[q]) >= cosine
-    return out
-
-
-def _unit(rows: np.ndarray) -> np.ndarray:
-    rows = rows.astype(np.float64)
-    return rows / np.sqrt((rows * rows).sum(1, keepdims=True))
+        if len(x) and not nets:
+            nets = [np.zeros(1, np.int64)]
+        # Every point belongs to its nearest node of the last level, that to its nearest of the level above.
+        self.order = np.zeros(len(x), np.int64)
+        self.levels, self.below = [], []
+        if not len(x):
+            return
+        labels = [nearest(x, x[nets[-1]])[0]]
+        for up, low in zip(nets[-2::-1], nets[:0:-1], strict=True):
+            labels.append(nearest(x[low], x[up])[0][labels[-1]])
+        self.order = np.lexsort(labels)
+        self.x = x[self.order]
+        last = None
+        for centres, label in zip(nets, labels[::-1], strict=True):
+            mine = label[self.order]
+            # A node of a net is inside its own points, but its parent may have moved it next to others.
+            start = np.flatnonzero(np.concatenate(([True], mine[1:] != mine[:-1])))
+            if last is not None:
+                start = np.union1d(start, last)
+            end = np.append(start[1:], len(x))
+            c = x[centres[mine[start]]]
+            far = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * np.einsum("ij,ij->i", self.x, np.repeat(c, end - start, axis=0))))
+            if last is not None:
+                self.below.append(np.searchsorted(start, last))
+            self.levels.append((c, start, end, np.maximum.reduceat(far, start)))
+            last = start
+        self.below.append(None)
+
+
+def dual_blocks(a: CoverTree, b: CoverTree, cosine: float, same: bool = False):
+    """Blocks (places in a, places in b, near) that hold all pairs at or above the threshold, each once.
+
+    Both trees go down together, level by level, and pairs of nodes too far apart are dropped with all
+    below. With `same`, a and b are one tree and a pair of nodes is looked at in one order only.
+    """
+    if not a.levels or not b.levels:
+        return
+    reach = float(np.sqrt(max(0.0, 2 - 2 * cosine))) + SLACK
+    i, j = (v.ravel() for v in np.indices((len(a.levels[0][1]), len(b.levels[0][1]))))
+    la = lb = 0
+    while True:
+        (ca, sa, ea, ra), (cb, sb, eb, rb) = a.levels[la], b.levels[lb]
+        keep = np.ones(len(i), bool)
+        for lo in range(0, len(i), 1 << 16):
+            p, q = i[lo : lo + (1 << 16)], j[lo : lo + (1 << 16)]
+            d = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * np.einsum("ij,ij->i", ca[p], cb[q])))
+            keep[lo : lo + (1 << 16)] = (d <= reach + ra[p] + rb[q]) & (not same or p <= q)
+        i, j = i[keep], j[keep]
+        if la + 1 == len(a.levels) and lb + 1 == len(b.levels):
+            break
+        if la + 1 < len(a.levels):
+            i, j = _children(a, la, i, j)
+            la += 1
+        if lb + 1 < len(b.levels):
+            j, i = _children(b, lb, j, i)
+            lb += 1
+    order = np.lexsort((j, i))
+    i, j = i[order], j[order]
+    edge = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1], [True]))) if len(i) else np.zeros(1, np.int64)
+    for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        node, others = i[lo], j[lo:hi]
+        left = np.arange(sa[node], ea[node])
+        size = eb[others] - sb[others]
+        right = np.repeat(sb[others] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        for p in range(0, len(left), BLOCK):
+            for q in range(0, len(right), 2 * BLOCK):
+                l, r = left[p : p + BLOCK], right[q : q + 2 * BLOCK]
+                near = a.x[l] @ b.x[r].T >= cosine
+                if same:
+                    near &= l[:, None] < r[None, :]
+                if near.any():
+                    yield a.order[l], b.order[r], near
+
+
+def _children(t: CoverTree, level: int, mine: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    first = t.below[level]
+    size = np.diff(np.append(first, len(t.levels[level + 1][1])))[mine]
+    at = np.repeat(first[mine] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    return at, np.repeat(other, size)
+
 
+def merge(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Roots after joining i with j; a root is the smallest place of its group."""
+    while True:
+        a, b = root[i], root[j]
+        apart = a != b
+        if not apart.any():
+            return root
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
 
-def _cells(sample: list, reach: float) -> dict:
-    """Centres by (label, dimensions), from the sampled rows."""
-    by: dict = {}
-    for r in sample:
-        by.setdefault((r.label, len(r.embedding)), []).append(r.embedding)
-    share = {k: max(1, CELLS * len(v) // max(1, len(sample))) for k, v in by.items()}
-    trees = {k: CoverTree(_unit(np.array(v)), reach / 2, share[k]) for k, v in by.items()}
-    return {k: t.x[t.levels[-1]] for k, t in trees.items()}
+
+def visits(x: np.ndarray, centres: np.ndarray, radius: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Home of each point, and (point, cell) of its visits to later cells that may hold a partner."""
+    d = distances(x, centres)
+    home = d.argmin(1)
+    own = d[np.arange(len(x)), home][:, None]
+    apart = distances(centres, centres)[home]
+    may = (d <= radius + reach + SLACK) & (d * d - own * own <= 2 * (reach + SLACK) * apart + SLACK) & (np.arange(len(centres)) > home[:, None])
+    return home, *np.nonzero(may)
+
+
+def divide(x: np.ndarray, reach: float) -> np.ndarray | None:
+    """Centres that divide a unit of which x is a sample; None where copies of visitors would cost more than cells save."""
+    radius, centres = FIRST_RADIUS, np.zeros(1, np.int64)
+    while len(centres) < 2 and radius > reach / 4:
+        radius /= 2
+        found = net(x, radius, CELLS, centres)
+        if found is None:  # the first CELLS of a net are apart, whether they cover all or not
+            found = _first_apart(x, radius)
+        centres = found
+    if len(centres) < 2:
+        return None
+    c = x[centres]
+    home, dist = nearest(x, c)
+    r = np.zeros(len(c))
+    np.maximum.at(r, home, dist)
+    copies = 1 + len(visits(x, c, r, reach)[1]) / len(x)
+    share = np.bincount(home, minlength=len(c)).max() / len(x)
+    return c if copies * copies / len(c) < 0.5 and share < 0.9 else None
+
+
+def _first_apart(x: np.ndarray, radius: float) -> np.ndarray:
+    chosen, far = [], np.ones(len(x), bool)
+    while far.any() and len(chosen) < CELLS:
+        i = int(np.argmax(far))
+        chosen.append(i)
+        far &= distances(x, x[i : i + 1])[:, 0] > radius
+    return np.array(chosen, np.int64)
+
+
+def _matrix(column, dims: int) -> np.ndarray:
+    return unit_vectors(column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dims))
+
+
+def _divided(points: DataFrame, sizes: DataFrame, level: int, reach: float, kind: str) -> tuple[DataFrame, DataFrame]:
+    """Points of big units, dealt to their cells, and the units that are not divided."""
+    big = sizes.filter(F.col("n") > CHUNK)
+    inside = points.join(big, "unit")
+    picked = inside.filter(F.pmod(F.xxhash64(F.lit(level), "id"), F.lit(1 << 30)) * F.col("n") < F.lit(SAMPLE << 30)).select("unit", "dims", "id", "embedding")
+
+    def centres(table):
+        import pyarrow as pa
+
+        table = table.sort_by("id")
+        dims = table.column("dims")[0].as_py()
+        c = divide(_matrix(table.column("embedding"), dims), reach)
+        flat = [None if c is None else c.ravel()]
+        return pa.table({"unit": table.column("unit")[:1], "centres": pa.array(flat, pa.list_(pa.float64()))})
+
+    made = cut(big.join(picked.groupBy("unit").applyInArrow(centres, "unit string, centres array<double>"), "unit", "left"), "centres")
+    whole = made.filter("centres is null").select("unit")
+    # A big unit's points meet its centres in as many groups as it has chunks.
+    salts = F.ceil(F.col("n") / CHUNK).cast("int")
+    spread = made.filter("centres is not null").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    salted = inside.withColumn("salt", F.pmod(F.xxhash64("id"), salts).cast("int")).drop("n")
+    placed_schema = "unit string, salt int, cell int, dist double"
+
+    def homes(left, right):
+        import pyarrow as pa
+
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"unit": pa.array([], pa.string()), "salt": pa.array([], pa.int32()), "cell": pa.array([], pa.int32()), "dist": pa.array([], pa.float64())})
+        dims = left.column("dims")[0].as_py()
+        cell, dist = nearest(_matrix(left.column("embedding"), dims), np.array(right.column("centres")[0].as_py()).reshape(-1, dims))
+        used = np.unique(cell)
+        far = np.zeros(int(used.max()) + 1)
+        np.maximum.at(far, cell, dist)
+        return pa.table({"unit": pa.array([left.column("unit")[0].as_py()] * len(used), pa.string()), "salt": pa.array([0] * len(used), pa.int32()), "cell": pa.array(used.astype(np.int32)), "dist": pa.array(far[used])})
+
+    near = salted.groupBy("unit", "salt").cogroup(spread.groupBy("unit", "salt")).applyInArrow(homes, placed_schema)
+    radii = near.groupBy("unit", "cell").agg(F.max("dist").alias("r")).groupBy("unit").agg(F.map_from_entries(F.collect_list(F.struct("cell", "r"))).alias("radii"))
+    known = cut(spread.join(radii, "unit"), "radii")
+    schema = f"unit string, id bigint, m bigint, away bigint, dims int, embedding {kind}"
+
+    def deal(left, right):
+        import pyarrow as pa
+
+        names = ["id", "m", "away", "dims", "embedding"]
+        if not left.num_rows or not right.num_rows:
+            return left.slice(0, 0).select(["unit", *names])
+        dims = left.column("dims")[0].as_py()
+        c = np.array(right.column("centres")[0].as_py()).reshape(-1, dims)
+        r = np.full(len(c), -1.0)  # a cell without points has no partner for anyone
+        for k, v in right.column("radii")[0].as_py():
+            r[k] = v
+        home, who, cell = visits(_matrix(left.column("embedding"), dims), c, np.where(r < 0, -1e9, r), reach)
+        take, cells = np.concatenate((np.arange(len(home)), who)), np.concatenate((home, cell))
+        away = left.column("away").to_numpy()[take] | np.where(np.arange(len(take)) < len(home), 0, 1 << level)
+        out = left.take(take)
+        path = left.column("unit")[0].as_py()
+        cols = {n: out.column(n) for n in names} | {"away": pa.array(away, pa.int64())}
+        return pa.table({"unit": pa.array([f"{path}.{k}" for k in cells.tolist()], pa.string()), **cols})
+
+    dealt = salted.select("unit", "salt", "id", "m", "away", "dims", "embedding").groupBy("unit", "salt").cogroup(known.groupBy("unit", "salt")).applyInArrow(deal, schema)
+    return cut(dealt, f"dealt{level}"), whole
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
@@ -120,9 +304,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
 
     A row whose label is null, or whose vector is null, zero or holds a null or non-finite component,
     links with nothing and is its own component. Vectors of other dimensions do not compare. Equal
-    vectors of a label link with each other. Needs vec_id, label and embedding; other columns are ignored.
+    vectors of a label link with each other, rows that share a vec_id included. A null vec_id is never
+    the smallest unless all of its component are null. A cosine equal to the threshold links. Needs
+    vec_id, label and embedding; other columns are ignored. An empty table gives no rows.
     """
-    spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("label").cast("bigint").alias("label"), "embedding")
     fine = F.expr("label is not null and embedding is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)")
     rows = cut(rows.withColumn("ok", F.coalesce(fine, F.lit(False))).withColumn("embedding", F.when(F.col("ok"), F.col("embedding"))), "rows")
@@ -130,80 +315,54 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     classes = cut(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     kind = dict(classes.dtypes)["embedding"]
     reach = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
-    sample = classes.orderBy(F.xxhash64("label", "embedding"), "id").limit(SAMPLE).select("label", "embedding").collect()
-    centres = _cells(sample, reach)
+    columns = ["unit", "id", "m", "away", "dims", "embedding"]
+    points = classes.select(F.concat_ws("/", F.col("label").cast("string"), F.size("embedding").cast("string")).alias("unit"), "id", "m", F.lit(0).cast("bigint").alias("away"), F.size("embedding").alias("dims"), "embedding")
 
-    def place(batches) -> Iterator:
-        import pyarrow as pa
+    units = None
+    for level in range(DEPTH + 1):
+        sizes = cut(points.groupBy("unit").agg(F.count("*").alias("n")), f"sizes{level}")
+        more = not sizes.filter(F.col("n") > CHUNK).isEmpty()
+        ready = points.join(sizes.filter(F.col("n") <= CHUNK), "unit").select(*columns, F.lit(1).alias("parts")) if more else points.select(*columns, F.lit(1).alias("parts"))
+        if more and level < DEPTH:
+            dealt, whole = _divided(points, sizes, level, reach, kind)
+            chunked = points.join(sizes.join(whole, "unit"), "unit")
+        elif more:
+            dealt, chunked = None, points.join(sizes.filter(F.col("n") > CHUNK), "unit")
+        if more:
+            ready = ready.unionByName(chunked.select(*columns, F.ceil(F.col("n") / CHUNK).cast("int").alias("parts")))
+        units = ready if units is None else units.unionByName(ready)
+        if not more or dealt is None:
+            break
+        points = dealt
 
-        for batch in batches:
-            ids, labels, vecs = batch.column(0), batch.column(1).to_pylist(), batch.column(3)
-            flat, cuts = vecs.values.to_numpy(zero_copy_only=False), vecs.offsets.to_numpy()
-            cell, dist = np.full(len(labels), -1, np.int32), np.full(len(labels), 2.0)
-            groups: dict = {}
-            for i, (lab, n) in enumerate(zip(labels, np.diff(cuts).tolist(), strict=True)):
-                groups.setdefault((lab, n), []).append(i)
-            for k, at in groups.items():
-                if k in centres:
-                    x = _unit(np.stack([flat[cuts[i] : cuts[i + 1]] for i in at]))
-                    d = distances(x, centres[k])
-                    cell[at] = d.argmin(1)
-                    dist[at] = d.min(1)
-            yield pa.RecordBatch.from_arrays([ids, batch.column(1), batch.column(2), vecs, pa.array(np.diff(cuts).astype(np.int32)), pa.array(cell), pa.array(dist)], ["id", "label", "m", "embedding", "dims", "cell", "dist"])
-
-    placed = cut(classes.select("id", "label", "m", "embedding").mapInArrow(place, f"id bigint, label bigint, m bigint, embedding {kind}, dims int, cell int, dist double"), "placed")
-    cells = cut(placed.groupBy("label", "dims", "cell").agg(F.count("*").alias("n"), F.max("dist").alias("radius")).withColumn("parts", F.ceil(F.col("n") / CHUNK).cast("int")), "cells")
-    # Cells made from the sample are at most CELLS and one per sampled label; their pairs are walked here.
-    radii: dict = {}
-    for r in cells.filter("cell >= 0").collect():
-        radii.setdefault((r.label, r.dims), {})[r.cell] = r.radius
-    kept = []
-    for k, by_cell in radii.items():
-        at = np.array(sorted(by_cell))
-        r = np.array([by_cell[c] for c in at.tolist()])
-        c = centres[k][at]
-        i, j = np.nonzero(np.triu(distances(c, c) <= reach + 1e-6 + r[:, None] + r[None, :]))
-        kept += [(*k, int(at[p]), int(at[q])) for p, q in zip(i, j, strict=True)]
-    pairs = spark.createDataFrame(kept, "label bigint, dims int, c1 int, c2 int")
-    pairs = pairs.unionByName(cells.filter("cell < 0").select("label", "dims", F.col("cell").alias("c1"), F.col("cell").alias("c2")))
-    parts = cells.select("label", "dims", "cell", "parts")
-    units = pairs.join(parts.toDF("label", "dims", "c1", "n1"), ["label", "dims", "c1"]).join(parts.toDF("label", "dims", "c2", "n2"), ["label", "dims", "c2"])
-    units = units.withColumn("p1", F.explode(F.sequence(F.lit(0), F.col("n1") - 1))).withColumn("p2", F.explode(F.sequence(F.lit(0), F.col("n2") - 1))).filter("c1 <> c2 or p1 <= p2")
-    units = units.select("label", "dims", "c1", "p1", "c2", "p2")
-    sides = F.array(F.struct(F.col("c1").alias("cell"), F.col("p1").alias("part"), F.lit(0).alias("side")), F.struct(F.col("c2").alias("cell"), F.col("p2").alias("part"), F.lit(1).alias("side")))
-    alone = F.array(F.struct(F.col("c1").alias("cell"), F.col("p1").alias("part"), F.lit(0).alias("side")))
-    units = units.withColumn("s", F.explode(F.when((F.col("c1") == F.col("c2")) & (F.col("p1") == F.col("p2")), alone).otherwise(sides))).select("label", "dims", "c1", "p1", "c2", "p2", "s.*")
-    dealt = placed.join(parts, ["label", "dims", "cell"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    dealt = dealt.join(units, ["label", "dims", "cell", "part"])
-    unit = dealt.groupBy("label", "dims", "c1", "p1", "c2", "p2").agg(F.collect_list(F.struct("id", "m", "side")).alias("who"), F.flatten(F.collect_list("embedding")).alias("flat"))
-
-    def walk(batches) -> Iterator:
+    # A point goes to each pair of chunks that holds its own; a unit of one chunk is one pair.
+    part = F.pmod(F.xxhash64(F.lit(7), "id"), F.col("parts")).cast("int")
+    meets = units.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    meets = meets.select("unit", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "id", "m", "away", "dims", "embedding")
+
+    def walk(key, table):
         import pyarrow as pa
 
-        for batch in batches:
-            for dims, who, flat in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                w = who.values
-                ids, m, side = (w.field(i).to_numpy() for i in range(3))
-                x = _unit(flat.values.to_numpy().reshape(-1, dims))
-                left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-                a = CoverTree(x[left], reach / 2)
-                if len(right):
-                    near = dual_pairs(a, CoverTree(x[right], reach / 2), cosine)
-                else:
-                    right, near = left, dual_pairs(a, a, cosine)
-                    near |= near.T
-                    np.fill_diagonal(near, False)
-                n = np.zeros(len(ids), np.int64)
-                n[left] += near @ m[right]
-                if right is not left:
-                    n[right] += near.T @ m[left]
-                i, j = np.nonzero(near)
-                root = _roots(len(ids), left[i], right[j])
-                mine = np.flatnonzero(root != np.arange(len(ids)))
-                some = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((ids[some], ids[mine]))), pa.array(np.concatenate((n[some], np.zeros(len(mine), np.int64)))), pa.array(np.concatenate((np.full(len(some), -1), ids[root[mine]])))], ["id", "n", "b"])
-
-    found = cut(unit.select("dims", "who", "flat").mapInArrow(walk, "id bigint, n bigint, b bigint"), "found")
+        p, q = key[1].as_py(), key[2].as_py()
+        dims = table.column("dims")[0].as_py()
+        ids, m, away, part = (table.column(c).to_numpy() for c in ("id", "m", "away", "part"))
+        x = _matrix(table.column("embedding"), dims)
+        left, right = np.flatnonzero(part == p), np.flatnonzero(part == q)
+        a = CoverTree(x[left], reach / 2)
+        b = a if p == q else CoverTree(x[right], reach / 2)
+        n, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        for i, j, near in dual_blocks(a, b, cosine, p == q):
+            i, j = left[i], right[j]
+            if away.any():
+                near &= (away[i][:, None] & away[j][None, :]) == 0
+            n[i] += near @ m[j]
+            n[j] += near.T @ m[i]
+            r, c = np.nonzero(near)
+            root = merge(root, i[r], j[c])
+        mine, some = np.flatnonzero(root != np.arange(len(ids))), np.flatnonzero(n)
+        return pa.table({"id": np.concatenate((ids[some], ids[mine])), "n": np.concatenate((n[some], np.zeros(len(mine), np.int64))), "b": np.concatenate((np.full(len(some), -1), ids[root[mine]]))})
+
+    found = cut(meets.groupBy("unit", "p", "q").applyInArrow(walk, "id bigint, n bigint, b bigint"), "found")
     counts = found.filter("b < 0").groupBy("id").agg(F.sum("n").alias("n"))
     roots = components(found.filter("b >= 0").select(F.col("id").alias("a"), "b"))
     joined = classes.join(roots.withColumnRenamed("node", "id"), "id", "left").join(counts, "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -212,18 +371,3 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     good = rows.filter("ok").join(info, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     rest = rows.filter("not ok").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     return good.unionByName(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
-
-
-def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Smallest place of each place's group, by repeated smallest neighbour."""
-    root = np.arange(n)
-    while len(i):
-        new = root.copy()
-        low = np.minimum(root[i], root[j])
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        new = new[new]
-        if (new == root).all():
-            break
-        root = new
-    return root
