@@ -1,11 +1,16 @@
 """Token ids on disk as Re-Pair grammars, one per shard, with random access to documents.
 
-Re-Pair replaces the most frequent adjacent pair of ids by a new symbol, again and again. Here a
-round takes the most frequent pairs at once, leaving out any pair whose left symbol is another's
-right one: occurrences then never overlap, so a round gives what replacing its pairs one by one
-would. Pairs never cross the end of a document. A shard holds its rules by round, each symbol's
-expansion length, its symbol stream, and each document's place in it; a document is decoded from
-its own symbols alone.
+Re-Pair replaces the most frequent adjacent pair of ids by a new symbol, again and again, until no
+pair occurs twice. Here a round replaces many pairs at once: those at least a sixty-fourth as
+frequent as the most frequent, leaving out any pair whose left symbol is another's right one, so that occurrences
+never overlap and a round gives what replacing its pairs one by one would. Of a run of one symbol
+every second place is an occurrence, counted from the left. Pairs never cross the end of a document.
+A place whose pair occurs once can never take part again, whatever is replaced around it, so a round
+only looks at the others.
+
+A shard holds its rules, each symbol's expansion length, its symbol stream, and each document's place
+in it. Lengths say where every part of a symbol goes, so a document, or any span of ids, is decoded
+from its own symbols alone.
 
 Shards are rows of a Parquet table (any file system that Spark writes): part, shard, n_tokens and
 the grammar's bytes. Parts are ranges of doc_id, shards follow each other inside a part.
@@ -24,85 +29,146 @@ from pyspark.sql import functions as F
 from .chunked_tokenizer import DROPS_BLANKS, ChunkedTokenizer
 from .common import cut, text_or_empty
 
-MAGIC = b"KSRP0001"
+MAGIC = b"KSRP0002"
+#: Slots of the table that finds pairs which occur once, as a power of two.
+BITS = 21
+#: Most pairs of a round that are picked one by one.
+GREEDY = 4096
+#: Documents that are decoded together.
+TOGETHER = 256
 SHARDS = "part int, shard int, n_docs bigint, n_tokens bigint, grammar binary"
 
 
-def _pairs_of_a_round(sym: np.ndarray, last: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Left and right symbols of the round's pairs, most frequent first."""
-    key = (sym[:-1].astype(np.uint64) << np.uint64(32)) | sym[1:] if sym.dtype != np.uint16 else (sym[:-1].astype(np.uint32) << np.uint32(16)) | sym[1:]
-    key = np.sort(key[~last[:-1]])
-    if not len(key):
-        return key, key
-    edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
-    count = np.diff(edge)
-    often = np.flatnonzero(count >= least)
-    if len(often) > 4 * most:
-        often = often[np.argpartition(-count[often], 4 * most)[: 4 * most]]
-    often = often[np.lexsort((key[edge[often]], -count[often]))]
-    chosen = key[edge[often]]
-    bits = chosen.dtype.itemsize * 4
-    lefts, rights, out = set(), set(), []
-    for k in chosen.tolist():
-        a, b = k >> bits, k & ((1 << bits) - 1)
-        if a != b and a not in rights and b not in lefts:
-            lefts.add(a)
-            rights.add(b)
-            out.append((a, b))
-            if len(out) == most:
-                break
-    pairs = np.array(out, np.int64).reshape(-1, 2)
-    return pairs[:, 0], pairs[:, 1]
-
-
-def compress(ids: np.ndarray, doc_ends: np.ndarray, least: int = 8, per_round: int = 2048, rounds: int = 6) -> bytes:
-    """Grammar bytes of `ids`; doc_ends[i] is the place after document i's last id (documents are not empty)."""
+def _compatible(left: np.ndarray, right: np.ndarray, seed: int) -> np.ndarray:
+    """Which pairs, most frequent first, a round takes: no symbol is a left one and a right one of different pairs.
+
+    Few pairs are taken greedily. Of many, symbols are dealt two sides by a hash of the round.
+    """
+    if len(left) <= GREEDY:
+        lefts, rights, out = set(), set(), np.zeros(len(left), bool)
+        for i, (a, b) in enumerate(zip(left.tolist(), right.tolist(), strict=True)):
+            if a == b:
+                out[i] = a not in lefts and a not in rights
+            else:
+                out[i] = a not in rights and b not in lefts
+            if out[i]:
+                lefts.add(a)
+                rights.add(b)
+        return out
+    with np.errstate(over="ignore"):
+        side = lambda s: (s.astype(np.uint64) + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(63)
+        return (side(left) == 0) & (side(right) == 1)
+
+
+def _slots(key: np.ndarray, seed: int, bits: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return ((key ^ (key >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15 + 2 * seed) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def repair(ids: np.ndarray, doc_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(left, right, stream, last): the symbols of each rule, the stream of symbols, and where documents end in it."""
     base = int(ids.max()) + 1 if len(ids) else 0
-    wide = base + per_round * rounds > 1 << 16
-    sym = ids.astype(np.uint32 if wide else np.uint16)
+    sym = ids.astype(np.uint32)
     last = np.zeros(len(sym), bool)
     last[doc_ends - 1] = True
-    made, left, right = base, [], []
-    sizes = []
-    while len(sizes) < rounds and len(sym) > 1:
-        a, b = _pairs_of_a_round(sym, last, least, per_round)
-        if not len(a):
+    open_ = ~last[:-1]  # places whose pair may occur again
+    made, lefts, rights, turn = base, [], [], 0
+    while len(sym) > 1:
+        at = np.flatnonzero(open_)
+        a, b = sym[at], sym[at + 1]
+        key = a.astype(np.uint64) << np.uint64(32) | b
+        same = np.flatnonzero(a == b)
+        counted = None
+        if len(same):
+            counted = np.ones(len(at), bool)
+            # Places of a run of equal pairs in turn: every second one overlaps the one before.
+            p = at[same]
+            run = np.flatnonzero(np.concatenate(([True], (p[1:] != p[:-1] + 1) | (sym[p[1:]] != sym[p[:-1]]))))
+            odd = (np.arange(len(p)) - np.repeat(run, np.diff(np.append(run, len(p))))) % 2 == 1
+            counted[same[odd]] = False
+        if turn < 3 or turn % 4 == 0:
+            # Pairs by slot of a table: one that is alone in its slot occurs once, and its place is closed for good.
+            slot = _slots(key, turn, BITS)
+            alone = np.bincount(slot, minlength=1 << BITS)[slot] == 1
+            open_[at[alone]] = False
+            some = ~alone if counted is None else counted & ~alone
+            at, key = at[some], key[some]
+        elif counted is not None:
+            at, key = at[counted], key[counted]
+        ranked = np.sort(key)
+        edge = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1], [True]))) if len(ranked) else np.zeros(1, np.int64)
+        count = np.diff(edge)
+        most = int(count.max()) if len(count) else 0
+        if most < 2:
             break
-        top = made + 1
-        by_left, by_right = np.zeros(top, bool), np.zeros(top, bool)
-        by_left[a], by_right[b] = True, True
-        at = np.flatnonzero(by_left[sym[:-1]] & by_right[sym[1:]] & ~last[:-1])
-        rule = a * top + b
-        order = np.argsort(rule)
-        key = sym[at].astype(np.int64) * top + sym[at + 1]
-        place = np.minimum(np.searchsorted(rule[order], key), len(rule) - 1)
-        hit = rule[order][place] == key
-        at, new = at[hit], made + order[place[hit]]
-        sym[at] = new
+        chosen = np.flatnonzero(count >= max(2, most // 64))
+        pairs = ranked[edge[chosen]]
+        if len(pairs) <= GREEDY:
+            pairs = pairs[np.lexsort((pairs, -count[chosen]))]
+        left, right = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        take = _compatible(left, right, turn)
+        # A pair whose slot another one has waits for a round with other slots.
+        taken = np.flatnonzero(take)[::-1]
+        bits = min(BITS, 4 + max(8, int(len(taken)).bit_length()))
+        table = np.full(1 << bits, -1, np.int32)
+        table[_slots(pairs[taken], turn, bits)] = taken
+        taken = np.unique(table[table >= 0])
+        number = table[_slots(key, turn, bits)]
+        turn += 1
+        if not len(taken):
+            continue
+        rule = np.full(len(pairs), -1, np.int64)
+        rule[taken] = np.arange(len(taken))
+        left, right = left[taken], right[taken]
+        hit = np.flatnonzero(number >= 0)
+        hit = hit[pairs[number[hit]] == key[hit]]
+        at, number = at[hit], rule[number[hit]]
+        sym[at] = made + number
         last[at] = last[at + 1]
         keep = np.ones(len(sym), bool)
         keep[at + 1] = False
-        sym, last = sym[keep], last[keep]
-        left.append(a)
-        right.append(b)
-        sizes.append(len(a))
-        made += len(a)
-    left_all = np.concatenate(left) if left else np.zeros(0, np.int64)
-    right_all = np.concatenate(right) if right else np.zeros(0, np.int64)
-    length = np.ones(made, np.int64)
-    for i, (x, y) in enumerate(zip(left_all.tolist(), right_all.tolist(), strict=True)):
-        length[base + i] = length[x] + length[y]
-    places = np.flatnonzero(last) + 1
-    head = struct.pack("<8sIIQQI", MAGIC, base, len(sizes), len(sym), len(doc_ends), 4 if wide else 2)
-    parts = [np.array(sizes, np.uint32), left_all.astype(np.uint32), right_all.astype(np.uint32), length[base:].astype(np.uint32), doc_ends.astype(np.uint64), places.astype(np.uint64), sym]
+        # The pair behind a replaced one begins at its first place now.
+        behind = at[at + 1 < len(open_)]
+        open_[behind] = open_[behind + 1]
+        sym, last, open_ = sym[keep], last[keep], open_[keep[:-1]]
+        open_ = open_[: len(sym) - 1] & ~last[:-1]
+        lefts.append(left)
+        rights.append(right)
+        made += len(left)
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(lefts or none), np.concatenate(rights or none), sym, last
+
+
+def compress(ids: np.ndarray, doc_ends: np.ndarray) -> bytes:
+    """Grammar bytes of `ids`; doc_ends[i] is the place after document i's last id (documents are not empty)."""
+    base = int(ids.max()) + 1 if len(ids) else 0
+    left, right, sym, last = repair(ids, doc_ends)
+    length = _lengths(left, right, base)
+    wide = base + len(left) > 1 << 16
+    head = struct.pack("<8sIIQQI", MAGIC, base, len(left), len(sym), len(doc_ends), 4 if wide else 2)
+    unit = np.uint32 if wide else np.uint16
+    parts = [left.astype(unit), right.astype(unit), length.astype(np.uint64), doc_ends.astype(np.uint64), (np.flatnonzero(last) + 1).astype(np.uint64), sym.astype(unit)]
     return head + b"".join(p.tobytes() for p in parts)
 
 
+def _lengths(left: np.ndarray, right: np.ndarray, base: int) -> np.ndarray:
+    """Expansion length of each rule; a rule's parts are of earlier rules, so what is ready grows until all is."""
+    length = np.zeros(base + len(left), np.int64)
+    length[:base] = 1
+    todo = np.arange(len(left))
+    while len(todo):
+        a, b = length[left[todo]], length[right[todo]]
+        ready = (a > 0) & (b > 0)
+        length[base + todo[ready]] = (a + b)[ready]
+        todo = todo[~ready]
+    return length[base:]
+
+
 class Grammar:
     """Reader of one shard's bytes."""
 
     def __init__(self, data: bytes):
-        magic, self.base, n_rounds, n_sym, n_docs, width = struct.unpack_from("<8sIIQQI", data)
+        magic, self.base, n_rules, n_sym, n_docs, width = struct.unpack_from("<8sIIQQI", data)
         if magic != MAGIC:
             raise ValueError("not a grammar shard")
         at = struct.calcsize("<8sIIQQI")
@@ -113,41 +179,43 @@ class Grammar:
             at += out.nbytes
             return out
 
-        self.rounds = take(n_rounds, np.uint32)
-        n_rules = int(self.rounds.sum())
-        self.left, self.right, self.length = (take(n_rules, np.uint32) for _ in range(3))
+        unit = np.uint32 if width == 4 else np.uint16
+        self.left, self.right = take(n_rules, unit), take(n_rules, unit)
+        self.length = take(n_rules, np.uint64).astype(np.int64)
         self.doc_ends, self.places = take(n_docs, np.uint64).astype(np.int64), take(n_docs, np.uint64).astype(np.int64)
-        self.sym = take(n_sym, np.uint32 if width == 4 else np.uint16)
+        self.sym = take(n_sym, unit)
+
+    def sizes(self, sym: np.ndarray) -> np.ndarray:
+        """How many ids each symbol stands for."""
+        out = np.ones(len(sym), np.int64)
+        rule = np.flatnonzero(sym >= self.base)
+        out[rule] = self.length[sym[rule].astype(np.int64) - self.base]
+        return out
 
     def expand(self, sym: np.ndarray) -> np.ndarray:
-        """Undo the rounds, last first; every symbol of a round becomes two."""
-        sym = sym.astype(np.int64)
-        hi = self.base + len(self.left)
-        for n in self.rounds[::-1].tolist():
-            lo = hi - n
-            at = np.flatnonzero(sym >= lo)
-            if len(at):
-                rule = sym[at] - self.base
-                twice = np.ones(len(sym), np.int64)
-                twice[at] = 2
-                out = np.repeat(sym, twice)
-                to = at + np.arange(len(at))
-                out[to], out[to + 1] = self.left[rule], self.right[rule]
-                sym = out
-            hi = lo
-        return sym.astype(np.uint32)
-
-    def all_ids(self) -> np.ndarray:
-        return self.expand(self.sym)
+        """Ids of a stretch of symbols: every part goes to its place, which lengths tell."""
+        size = self.sizes(sym)
+        out = np.empty(int(size.sum()), np.uint32)
+        at = np.cumsum(size) - size
+        while len(sym):
+            plain = sym < self.base
+            out[at[plain]] = sym[plain]
+            at = at[~plain]
+            rule = sym[~plain].astype(np.int64) - self.base
+            a, b = self.left[rule], self.right[rule]
+            sym, at = np.concatenate((a, b)), np.concatenate((at, at + self.sizes(a)))
+        return out
+
+    def docs(self, first: int, stop: int) -> np.ndarray:
+        """Ids of documents first..stop, from their own symbols."""
+        return self.expand(self.sym[self.places[first - 1] if first else 0 : self.places[stop - 1]]) if stop > first else np.zeros(0, np.uint32)
 
     def doc(self, i: int) -> np.ndarray:
-        """One document's ids, from its own symbols."""
-        return self.expand(self.sym[self.places[i - 1] if i else 0 : self.places[i]])
+        return self.docs(i, i + 1)
 
     def token_span(self, start: int, stop: int) -> np.ndarray:
         """Ids start..stop of the shard: expansion lengths find the symbols that hold them."""
-        size = np.where(self.sym < self.base, 1, self.length[np.maximum(self.sym.astype(np.int64) - self.base, 0)] if len(self.length) else 1)
-        ends = np.cumsum(size)
+        ends = np.cumsum(self.sizes(self.sym))
         a, b = np.searchsorted(ends, start, "right"), np.searchsorted(ends, stop, "left") + 1
         skip = start - (int(ends[a - 1]) if a else 0)
         return self.expand(self.sym[a:b])[skip : skip + stop - start]
@@ -220,10 +288,12 @@ def read_documents(shards: DataFrame) -> DataFrame:
         for batch in batches:
             for first, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 names, null, g = read_shard(data.as_py())
-                ids = g.all_ids()
-                raw, ends = ids.tobytes(), g.doc_ends
+                ends, crc = g.doc_ends, []
                 begins = np.concatenate(([0], ends[:-1]))
-                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
+                for lo in range(0, len(ends), TOGETHER):
+                    hi = min(lo + TOGETHER, len(ends))
+                    raw, zero = g.docs(lo, hi).view(np.uint8).data, int(begins[lo])
+                    crc += [zlib.crc32(raw[4 * (a - zero) : 4 * (b - zero)]) for a, b in zip(begins[lo:hi].tolist(), ends[lo:hi].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(names, mask=null.astype(bool)), pa.array(begins + first), pa.array(ends - begins), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return shards.join(starts, ["part", "shard"]).select("first", "grammar").mapInArrow(decode, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
