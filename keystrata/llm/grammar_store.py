@@ -55,6 +55,9 @@ def _compatible(left: np.ndarray, right: np.ndarray, seed: int) -> np.ndarray:
                 lefts.add(a)
                 rights.add(b)
         return out
+    equal = left == right
+    if seed % 4 == 3 and equal.any():  # pairs of one symbol each never meet
+        return equal
     with np.errstate(over="ignore"):
         side = lambda s: (s.astype(np.uint64) + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(63)
         return (side(left) == 0) & (side(right) == 1)
