@@ -1,7 +1,6 @@
 """Each operator on awkward rows: nulls, empty and long texts, ties, repeated rows, clashing columns, no rows."""
 
 import collections
-import math
 import re
 import zlib
 
@@ -204,36 +203,6 @@ def test_components_of_paths_and_stars(spark):
     assert len({r.root for r in got if r.node >= 100}) == 1 and len({r.root for r in got if r.node < 100}) == 1 and len(got) == 81 + 59
 
 
-def test_kneser_ney(spark, docs):
-    got = {r.doc_id: r for r in kneser_ney.train_and_score(docs).collect()}
-    toks = [[w.encode().lower() for w in WORD.findall(t or "")] + [None] for t in TEXTS]
-    train = [t for i, t in enumerate(toks) if zlib.crc32(str(i).encode()) % 5 != 1]
-    c = collections.Counter(w for t in train for w in t)
-    big = collections.Counter(p for t in train for p in zip(["<s>", *t], t, strict=False))
-    n, v = sum(c.values()), len(c)
-    coc = lambda x: [sum(k == i for k in x) for i in (1, 2, 3, 4)]
-    cont = collections.Counter(w for _, w in big)
-    d, e = kneser_ney._discounts(coc(big.values())), kneser_ney._discounts(coc(cont.values()))
-    take = lambda x, q: max(0.0, x - (0, *q)[min(x, 3)])
-    left = sum((0, *e)[min(x, 3)] for x in cont.values()) / len(big)
-    ctx = collections.defaultdict(list)
-    for (u, _), x in big.items():
-        ctx[u].append(x)
-
-    def p(u, w):
-        low = take(cont[w], e) / len(big) + left / (v + 1)
-        s = sum(ctx[u])
-        return take(big[u, w], d) / s + sum((0, *d)[min(x, 3)] for x in ctx[u]) / s * low if s else low
-
-    for i, t in enumerate(toks):
-        r = got[i]
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(c[w] > 0 for w in t), n)
-        assert r.base_score == pytest.approx(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t))
-        assert r.score == pytest.approx(sum(math.log10(p(u, w)) for u, w in zip(["<s>", *t], t, strict=False)))
-    vocab = [*c, "never seen"]
-    assert sum(p(train[0][0], w) for w in vocab) == pytest.approx(1)
-
-
 def test_sentence_spans(docs):
     got = {r.doc_id: r for r in sentence_spans.dedup(docs).collect()}
     assert len(got) == len(TEXTS) and got[0].units == [] and got[5].removed == []
