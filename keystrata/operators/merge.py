@@ -19,6 +19,12 @@ def newest_wins(log: DataFrame, version: str = "seq") -> DataFrame:
     return log.groupBy("key").agg(pick).select("key", "w.value", "w.is_tombstone")
 
 
+def newest_versions(log: DataFrame) -> DataFrame:
+    """As `newest_wins`, with the version; of rows alike in key and version the greatest (value, is_tombstone)."""
+    pick = F.max(F.struct("seq", "value", "is_tombstone")).alias("w")
+    return log.groupBy("key").agg(pick).select("key", "w.value", "w.is_tombstone", "w.seq")
+
+
 def live(merged: DataFrame) -> DataFrame:
     return merged.filter(~F.col("is_tombstone")).select("key", "value")
 
@@ -50,12 +56,17 @@ def lookup(log: DataFrame, probes: DataFrame, n_probes: int | None = None) -> Da
     Pass `n_probes` when the number of probes is known: up to BROADCAST_KEYS they are broadcast and
     prune the log before the merge; otherwise both sides meet in a shuffle on the key.
     """
-    probes = probes.select("key").distinct()
-    small = n_probes is not None and n_probes <= BROADCAST_KEYS
-    side = F.broadcast(probes) if small else probes
-    state = newest_wins(log.join(side, "key", "left_semi")).withColumn("hit", F.lit(True))
     status = F.when(F.col("hit").isNull(), "NotFound").when(F.col("is_tombstone"), "Deleted").otherwise("Found")
-    return probes.join(state, "key", "left").select("key", status.alias("status"), "value")
+    if n_probes is not None and n_probes <= BROADCAST_KEYS:
+        probes = probes.select("key").distinct()
+        state = newest_wins(log.join(F.broadcast(probes), "key", "left_semi")).withColumn("hit", F.lit(True))
+        return probes.join(state, "key", "left").select("key", status.alias("status"), "value")
+    # One shuffle on the key for both: a probe is a row without a version, which any version beats.
+    asked = probes.select("key", F.lit(True).alias("asked"), F.lit(None).alias("w"))
+    known = log.select("key", F.lit(False).alias("asked"), F.struct("seq", "value", "is_tombstone").alias("w"))
+    both = asked.unionByName(known).groupBy("key").agg(F.max("asked").alias("asked"), F.max_by("w", "w.seq").alias("w"))
+    both = both.filter("asked").select("key", F.when(F.col("w").isNotNull(), True).alias("hit"), "w.value", "w.is_tombstone")
+    return both.select("key", status.alias("status"), "value")
 
 
 def multi_get(log: DataFrame, keys: list[str]) -> DataFrame:

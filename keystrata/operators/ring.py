@@ -45,38 +45,35 @@ class HashRing:
         rows = [(f"{h:016x}", n.decode(), i) for h, n, i in self._pos]
         return spark.createDataFrame(rows, "hash string, node_id string, vnode int")
 
-    def _intervals(self) -> list[tuple[int, int, int, str]]:
-        """(bucket, low, high, node): the node owns order values low < h <= high inside the bucket."""
-        if not self._pos:
-            return []
-        first: dict[int, bytes] = {}
-        for h, n, _ in self._pos:
-            first.setdefault(h, n)
-        ends = sorted(first)
-        rows, width = [], 64 - BUCKET_BITS
-        spans = [(a, b, first[b]) for a, b in zip([-1, *ends[:-1]], ends)]
-        if ends[-1] < (1 << 64) - 1:
-            spans.append((ends[-1], (1 << 64) - 1, first[ends[0]]))
-        for a, b, n in spans:
-            for bucket in range((a + 1) >> width, (b >> width) + 1):
-                rows.append((bucket, order_of(a) if a >= 0 else None, order_of(b), n.decode()))
-        return rows
-
     def owners(self, keys: DataFrame, key: str = "key") -> DataFrame:
-        """`keys` with a `node_id` column: equality on the hash's high bits, then the interval test.
+        """`keys` with a `node_id` column, whatever the names of the others."""
+        return _placed(keys, key, {"node_id": self})
 
-        The interval table has nodes x virtual_nodes + 2^12 rows whatever the data; it is broadcast
-        up to BROADCAST_POSITIONS positions and shuffled on the bucket beyond that.
-        """
-        spark = keys.sparkSession
-        if not self._pos:
-            return keys.withColumn("node_id", F.lit(None).cast("string"))
-        spans = spark.createDataFrame(self._intervals(), "b int, lo bigint, hi bigint, node_id string")
-        side = F.broadcast(spans) if len(self._pos) <= BROADCAST_POSITIONS else spans
-        hashed = keys.withColumn("_h", placement_hash(F.col(key)))
-        hashed = hashed.select(*keys.columns, hash_order(F.col("_h")).alias("_o"), F.shiftright(F.col("_h")["hi"], 32 - BUCKET_BITS).cast("int").alias("b"))
-        hit = hashed.join(side, (hashed.b == side.b) & (F.isnull(side.lo) | (F.col("_o") > side.lo)) & (F.col("_o") <= side.hi), "left")
-        return hit.select(*keys.columns, "node_id")
+
+def _spans(rings: list[HashRing]) -> list[tuple]:
+    """(bucket, low, high, node of each ring): keys of low < order <= high inside the bucket."""
+    ends = sorted({h for r in rings for h, _, _ in r._pos} | {(1 << 64) - 1})
+    rows, width = [], 64 - BUCKET_BITS
+    for a, b in zip([-1, *ends[:-1]], ends, strict=True):
+        nodes = [r.owner_of_hash(b) for r in rings]
+        for bucket in range((a + 1) >> width, (b >> width) + 1):
+            rows.append((bucket, order_of(a) if a >= 0 else None, order_of(b), *nodes))
+    return rows
+
+
+def _placed(keys: DataFrame, key: str, rings: dict[str, HashRing]) -> DataFrame:
+    """Each key's owner on some rings, hashed once: equality on the hash's high bits, then the interval test.
+
+    The interval table has the rings' nodes x virtual_nodes + 2^12 rows whatever the data; it is
+    broadcast up to BROADCAST_POSITIONS positions and shuffled on the bucket beyond that.
+    """
+    names = [f"n{i}" for i in range(len(rings))]
+    spans = keys.sparkSession.createDataFrame(_spans(list(rings.values())), "b int, lo bigint, hi bigint, " + ", ".join(f"{n} string" for n in names))
+    side = (F.broadcast(spans) if sum(len(r._pos) for r in rings.values()) <= BROADCAST_POSITIONS else spans).alias("s")
+    hashed = keys.select(F.struct(*[keys[c] for c in keys.columns]).alias("row"), placement_hash(keys[key]).alias("h"))
+    hashed = hashed.select("row", hash_order(F.col("h")).alias("o"), F.shiftright(F.col("h")["hi"], 32 - BUCKET_BITS).cast("int").alias("b")).alias("k")
+    hit = hashed.join(side, (F.col("k.b") == F.col("s.b")) & (F.isnull("s.lo") | (F.col("k.o") > F.col("s.lo"))) & (F.col("k.o") <= F.col("s.hi")), "left")
+    return hit.select(*[F.col("k.row")[c].alias(c) for c in keys.columns], *(F.col(f"s.{n}").alias(out) for n, out in zip(names, rings, strict=True)))
 
 
 def key_hashes(keys: DataFrame, key: str = "key") -> DataFrame:
@@ -89,8 +86,8 @@ def balance(owned: DataFrame) -> DataFrame:
 
 def movement(keys: DataFrame, before: HashRing, after: HashRing) -> DataFrame:
     """Keys whose owner differs between two rings, counted by (from, to)."""
-    both = after.owners(before.owners(keys).withColumnRenamed("node_id", "old"))
-    return both.filter("old <> node_id").groupBy(F.col("old").alias("from_node"), F.col("node_id").alias("to_node")).agg(F.count("*").alias("moved"))
+    both = _placed(keys.select("key"), "key", {"from_node": before, "to_node": after})
+    return both.filter("from_node <> to_node").groupBy("from_node", "to_node").agg(F.count("*").alias("moved"))
 
 
 def partitioned_multi_get(log: DataFrame, probes: DataFrame, ring: HashRing) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .merge import live, newest_wins
+from .prefix import ROWS, running_sums
 
 
 def record_bytes(key: Column, value: Column) -> Column:
@@ -30,10 +31,18 @@ def run_stats(entries: DataFrame) -> DataFrame:
     )
 
 
-def index_offsets(entries: DataFrame) -> DataFrame:
-    w = Window.partitionBy("run").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+def index_offsets(entries: DataFrame, rows: int = ROWS) -> DataFrame:
+    """Where each entry of a run begins: the bytes of those before it in key order."""
     body = record_bytes(F.col("key"), F.col("value"))
-    return entries.select("run", "key", F.coalesce(F.sum(body).over(w), F.lit(0)).cast("bigint").alias("entry_offset"))
+    summed = running_sums(entries.select("run", "key", body.alias("b")), "run", "key", {"upto": F.col("b")}, rows)
+    return summed.select("run", "key", (F.col("upto") - F.col("b")).cast("bigint").alias("entry_offset"))
+
+
+def log_bytes(log: DataFrame, rows: int = ROWS) -> DataFrame:
+    """Framed size of each record, and of a run's log up to and with it."""
+    size = record_bytes(F.col("key"), F.col("value"))
+    summed = running_sums(log.select("run", "seq", size.alias("record_bytes")), "run", "seq", {"log_bytes": F.col("record_bytes")}, rows)
+    return summed.select("seq", "record_bytes", "log_bytes")
 
 
 def layers_probed(entries: DataFrame) -> DataFrame:
@@ -42,7 +51,7 @@ def layers_probed(entries: DataFrame) -> DataFrame:
     return entries.groupBy("key").agg(F.max("run").alias("newest")).crossJoin(runs).select("key", (F.col("last") - F.col("newest") + 1).alias("layers"))
 
 
-def memtable_trace(log: DataFrame) -> DataFrame:
+def memtable_trace(log: DataFrame, rows: int = ROWS) -> DataFrame:
     """Running byte size and entry count of a sorted in-memory table after each write.
 
     The size change of a write depends on the key's previous write only, so it is a window per
@@ -50,10 +59,9 @@ def memtable_trace(log: DataFrame) -> DataFrame:
     """
     size = (F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0))).cast("bigint")
     per_key = Window.partitionBy("run", "key").orderBy("seq")
-    run = Window.partitionBy("run").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    d = log.withColumn("sz", size).withColumn("prev", F.lag("sz").over(per_key))
-    d = d.withColumn("delta", F.col("sz") - F.coalesce("prev", F.lit(0))).withColumn("fresh", F.col("prev").isNull().cast("bigint"))
-    return d.select("run", "seq", "key", F.sum("delta").over(run).alias("size_bytes"), F.sum("fresh").over(run).alias("entries"))
+    d = log.select("run", "seq", "key", size.alias("sz")).withColumn("prev", F.lag("sz").over(per_key))
+    d = d.select("run", "seq", "key", (F.col("sz") - F.coalesce("prev", F.lit(0))).alias("delta"), F.col("prev").isNull().cast("bigint").alias("fresh"))
+    return running_sums(d, "run", "seq", {"size_bytes": F.col("delta"), "entries": F.col("fresh")}, rows).drop("delta", "fresh")
 
 
 def flush_points(log: DataFrame, capacity: int) -> DataFrame:

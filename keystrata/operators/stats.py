@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import valid_email
+from .prefix import ROWS, running_sums
 
 
 def workload_mix(spark: SparkSession, ops: int, read_pct: int, n_keys: int) -> DataFrame:
@@ -14,16 +15,16 @@ def workload_mix(spark: SparkSession, ops: int, read_pct: int, n_keys: int) -> D
     return spark.range(ops).select(i.alias("op"), kind.alias("kind"), F.format_string("k%08d", (i * 7919) % n_keys).alias("key"))
 
 
-def floor_rank_percentiles(samples: DataFrame, group: str, value: str, points: tuple[int, ...] = (50, 95, 99)) -> DataFrame:
+def floor_rank_percentiles(samples: DataFrame, group: str, value: str, points: tuple[int, ...] = (50, 95, 99), rows: int = ROWS) -> DataFrame:
     """The element at index (n - 1) * p / 100 in integer division, for each group.
 
     Values are counted first and ranks are running sums of counts, so a group is as many rows as
     it has distinct values, and equal values cost nothing.
     """
     counts = samples.groupBy(group, value).agg(F.count("*").alias("c"))
-    up_to = Window.partitionBy(group).orderBy(value)
-    whole = Window.partitionBy(group)
-    ranked = counts.withColumn("upto", F.sum("c").over(up_to)).withColumn("n", F.sum("c").over(whole))
+    ranked = running_sums(counts, group, value, {"upto": F.col("c")}, rows)
+    sizes = counts.groupBy(F.col(group).alias("g_")).agg(F.sum("c").alias("n"))
+    ranked = ranked.join(sizes, F.col(group).eqNullSafe(F.col("g_")))
     picks = [F.min(F.when(F.col("upto") > F.floor((F.col("n") - 1) * p / 100), F.col(value))).alias(f"p{p}") for p in points]
     return ranked.groupBy(group).agg(F.max("n").alias("n"), *picks)
 

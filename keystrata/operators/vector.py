@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import FNV32_BASIS, FNV32_PRIME, MASK32, feature_hash
+from ..functions.hashing import FNV32_BASIS, FNV32_PRIME, MASK32, feature_hash, trigram_hash
 
 DIM = 64
 TOKEN = "[a-z0-9]+"
@@ -18,22 +18,36 @@ def trigrams(tok: str) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(tok)), lambda j: F.substring(F.concat(F.lit("<"), F.col(tok), F.lit(">")), j, 3))
 
 
-def features(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc, feature, weight): `w:token` weighs 1, `g:trigram` of `<token>` weighs 0.5; counts summed."""
-    tokens = docs.select(F.col(doc_id).alias("doc"), F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(TOKEN), F.lit(0))).alias("tok"))
-    tokens = tokens.groupBy("doc", "tok").agg(F.count("*").alias("n"))
-    grams = F.transform(trigrams("tok"), lambda g: F.struct(F.concat(F.lit("g:"), g).alias("f"), F.lit(0.5).alias("w")))
-    word = F.array(F.struct(F.concat(F.lit("w:"), "tok").alias("f"), F.lit(1.0).alias("w")))
-    rows = tokens.select("doc", "n", F.explode(F.concat(word, grams)).alias("x"))
-    return rows.select("doc", F.col("x.f").alias("feature"), (F.col("x.w") * F.col("n")).alias("weight"))
+def _signed(h: Column, weight: float) -> Column:
+    """(dim, w) of a feature's hash."""
+    return F.struct((h % DIM).alias("dim"), F.when(h >= (1 << 31), -weight).otherwise(weight).alias("w"))
 
 
 def embed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Un-normalised signed sums (doc, dim, weight); each distinct feature is hashed once."""
-    f = features(docs, doc_id, text)
-    hashed = f.select("feature").distinct().withColumn("h", feature_hash(F.col("feature")))
-    signed = f.join(hashed, "feature").select("doc", (F.col("h") % DIM).alias("dim"), F.when(F.col("h") >= (1 << 31), -F.col("weight")).otherwise(F.col("weight")).alias("w"))
-    return signed.groupBy("doc", "dim").agg(F.sum("w").alias("weight"))
+    """Un-normalised signed sums (doc, dim, weight): `w:token` weighs 1, `g:trigram` of `<token>` weighs 0.5.
+
+    Features are hashed where they arise and summed before the only shuffle, at most DIM rows a
+    document and task, so no frequent word or trigram meets anywhere.
+    """
+    tokens = docs.select(F.col(doc_id).alias("doc"), F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(TOKEN), F.lit(0))).alias("tok"))
+    marked = tokens.select("doc", feature_hash(F.concat(F.lit("w:"), "tok")).alias("word"), F.concat(F.lit("<"), "tok", F.lit(">")).alias("t"))
+    places = F.explode(F.concat(F.array(F.lit(0)), F.sequence(F.lit(1), F.length("t") - 2))).alias("j")
+    # Place 0 is the word; a trigram has three characters, so its hash is a flat expression.
+    gram = _signed(trigram_hash(F.col("t"), F.col("j")), 0.5)
+    rows = marked.select("doc", "word", "t", places).select("doc", F.when(F.col("j") == 0, _signed(F.col("word"), 1.0)).otherwise(gram).alias("x"))
+    return rows.groupBy("doc", F.col("x.dim").alias("dim")).agg(F.sum("x.w").alias("weight"))
+
+
+def embed_vectors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, embedding): DIM 32-bit floats of length one, or all zero where sums cancel or there is no token."""
+    sums = embed(docs, doc_id, text).groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("dim", "weight"))).alias("m"))
+    dense = sums.select("doc", F.transform(F.sequence(F.lit(0), F.lit(DIM - 1)), lambda i: F.coalesce(F.col("m")[i.cast("bigint")], F.lit(0.0))).alias("v"))
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    dense = dense.withColumn("n", F.when(length == 0, 1.0).otherwise(length))
+    made = dense.select("doc", F.transform("v", lambda x: (x / F.col("n")).cast("float")).alias("embedding"))
+    zero = F.array_repeat(F.lit(0.0).cast("float"), DIM)
+    every = docs.select(F.col(doc_id).alias("id_"))
+    return every.join(made, every.id_.eqNullSafe(made.doc), "left").select(F.col("id_").alias("doc"), F.coalesce("embedding", zero).alias("embedding"))
 
 
 def embed_local(text: str) -> list[float]:

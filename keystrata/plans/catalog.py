@@ -61,7 +61,7 @@ kv("run_stats", """SELECT run, count(*) AS entries, CAST(sum(is_tombstone::INT)
 kv("run_index_offsets", "SELECT run, key, CAST(coalesce(sum(8 + strlen(key) + coalesce(strlen(value), 0)) OVER (PARTITION BY run ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS entry_offset FROM entries", lambda log: runs.index_offsets(runs.run_entries(log)))
 kv("run_next_id", "SELECT max(run) + 1 AS next_id, count(DISTINCT run) AS runs FROM entries", lambda log: log.agg((F.max("run") + 1).alias("next_id"), F.countDistinct("run").alias("runs")))
 kv("layers_probed", "SELECT key, (SELECT max(run) FROM entries) - max(run) + 1 AS layers FROM entries GROUP BY key", lambda log: runs.layers_probed(runs.run_entries(log)))
-kv("wal_record_bytes", "SELECT seq, CAST(8 + strlen(key) + coalesce(strlen(value), 0) AS BIGINT) AS record_bytes, CAST(sum(8 + strlen(key) + coalesce(strlen(value), 0)) OVER (PARTITION BY run ORDER BY seq) AS BIGINT) AS log_bytes FROM kv", lambda log: _wal(log))
+kv("wal_record_bytes", "SELECT seq, CAST(8 + strlen(key) + coalesce(strlen(value), 0) AS BIGINT) AS record_bytes, CAST(sum(8 + strlen(key) + coalesce(strlen(value), 0)) OVER (PARTITION BY run ORDER BY seq) AS BIGINT) AS log_bytes FROM kv", runs.log_bytes)
 kv("compact_output", "SELECT key, value FROM merged WHERE NOT is_tombstone", lambda log: runs.compact(runs.run_entries(log)))
 kv("compact_stats", """SELECT (SELECT count(*) FROM entries) AS entries_in, count(*) FILTER (WHERE NOT is_tombstone) AS entries_out,
  (SELECT count(*) FROM entries) - count(*) AS superseded, count(*) FILTER (WHERE is_tombstone) AS tombstones_dropped FROM merged""", lambda log: runs.compact_stats(runs.run_entries(log)))
@@ -76,14 +76,6 @@ kv("memtable_size_trace", TRACE.lstrip() + " SELECT * FROM trace", runs.memtable
 kv("flush_threshold", TRACE.lstrip() + " SELECT run, min(CASE WHEN size_bytes >= 3000 THEN seq END) AS full_at, max(size_bytes) AS peak_bytes FROM trace GROUP BY run", lambda log: runs.flush_points(log, 3000))
 
 
-def _wal(log: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
-    size = runs.record_bytes(F.col("key"), F.col("value"))
-    w = Window.partitionBy("run").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return log.select("seq", size.alias("record_bytes"), F.sum(size).over(w).alias("log_bytes"))
-
-
 @query("kv_lookup_tristate", KV + ", probes AS (SELECT unnest([" + ", ".join(repr(p) for p in PROBES) + "]) AS key) SELECT p.key, CASE WHEN l.key IS NULL THEN 'NotFound' WHEN l.is_tombstone THEN 'Deleted' ELSE 'Found' END AS status, l.value FROM probes p LEFT JOIN latest l ON p.key = l.key")
 def _lookup(spark, d):
     return merge.lookup(event_log(spark, d), spark.createDataFrame([(p,) for p in PROBES], "key string"), len(PROBES))
@@ -217,27 +209,40 @@ def _embed(spark, d):
     return vector.embed(table(spark, d, "documents"))
 
 
+@query("text_embed_vectors", EMBED + """, n AS (SELECT doc, sqrt(sum(weight * weight)) AS n FROM emb GROUP BY doc)
+ SELECT d.doc_id, i AS dim, coalesce(CAST(weight / CASE WHEN n = 0 THEN 1 ELSE n END AS FLOAT), 0) AS x FROM documents d CROSS JOIN range(64) t(i) LEFT JOIN emb ON emb.doc = d.doc_id AND emb.dim = i LEFT JOIN n ON n.doc = d.doc_id""")
+def _embed_vectors(spark, d):
+    return vector.embed_vectors(table(spark, d, "documents")).select(F.col("doc").alias("doc_id"), F.posexplode("embedding").alias("dim", "x"))
+
+
 @query("text_topk_hashed", EMBED + ", q AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {x!r}::DOUBLE)" for i, x in enumerate(vector.embed_local(WORDS))) + ") t(dim, qw)) SELECT doc AS doc_id, round(sum(weight * qw) / CASE WHEN sum(weight * weight) = 0 THEN 1 ELSE sqrt(sum(weight * weight)) END, 6) AS score FROM emb JOIN q USING (dim) GROUP BY doc ORDER BY score DESC, doc_id LIMIT 8")
 def _topk_text(spark, d):
     return vector.topk_text(table(spark, d, "documents"), WORDS, 8)
 
 
-@query("text_trigrams", "WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS tok FROM documents) SELECT tok, list_transform(range(1, length(tok) + 1), lambda j: substr('<' || tok || '>', j::INT, 3)) AS grams FROM t WHERE length(tok) <= 4")
+@query("text_trigrams", "WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS tok FROM documents) SELECT tok, list_transform(range(1, length(tok) + 1), lambda j: substr('<' || tok || '>', j::INT, 3)) AS grams FROM t")
 def _trigrams(spark, d):
-    return _all_trigrams(spark, d).filter(F.length("tok") <= 4)
-
-
-@query("text_trigrams_all", "WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS tok FROM documents) SELECT tok, list_transform(range(1, length(tok) + 1), lambda j: substr('<' || tok || '>', j::INT, 3)) AS grams FROM t")
-def _all_trigrams(spark, d):
     tok = table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(vector.TOKEN), F.lit(0))).alias("tok")).distinct()
     return tok.select("tok", vector.trigrams("tok").alias("grams"))
 
 
-@query("search_tiers", """SELECT p_partkey, p_name, CASE WHEN starts_with(lower(p_name), 'ar') THEN 0 WHEN contains(lower(p_name), 'ar') THEN 1 WHEN regexp_matches(lower(p_name), 'a.*r') THEN 2 WHEN contains(lower(p_brand), 'ar') THEN 3 END AS tier
- FROM part WHERE regexp_matches(lower(p_name), 'a.*r') OR contains(lower(p_brand), 'ar')""")
-def _tiers(spark, d):
-    tier = scalars.search_tier("ar", F.col("p_name"), F.col("p_brand"), F.col("p_type"))
-    return table(spark, d, "part").select("p_partkey", "p_name", tier.alias("tier")).filter(F.col("tier").isNotNull())
+def _tier_sql(q: str) -> str:
+    fold = ".*".join(q)
+    body = f" WHEN contains(lower(p_type), '{q}') THEN 4" if len(q) >= 3 else ""
+    return f"""SELECT * FROM (SELECT p_partkey, p_name, CASE WHEN starts_with(lower(p_name), '{q}') THEN 0 WHEN contains(lower(p_name), '{q}') THEN 1
+ WHEN regexp_matches(lower(p_name), '{fold}') THEN 2 WHEN contains(lower(p_brand), '{q}') THEN 3{body} END AS tier FROM part) WHERE tier IS NOT NULL"""
+
+
+def _tiers(name: str, q: str) -> None:
+    @query(name, _tier_sql(q))
+    def run(spark, d):
+        tier = scalars.search_tier(q, F.col("p_name"), F.col("p_brand"), F.col("p_type"))
+        return table(spark, d, "part").select("p_partkey", "p_name", tier.alias("tier")).filter(F.col("tier").isNotNull())
+
+
+_tiers("search_tiers", "ar")
+_tiers("search_tiers_body", "tee")
+_tiers("search_tiers_hint", "#1")
 
 
 # -- workloads and statistics
@@ -268,10 +273,23 @@ def _cost(spark, d):
     return grid.select("*", *(c.alias(n) for n, c in model.items()))
 
 
-@query("format_sizes", "SELECT i AS n, CASE WHEN i < 1024 THEN CASE WHEN i >= 100 THEN format('{:.0f}', i::DOUBLE) WHEN i >= 10 THEN format('{:.1f}', i::DOUBLE) ELSE format('{:.2f}', i::DOUBLE) END || ' B' ELSE CASE WHEN i / 1024 >= 100 THEN format('{:.0f}', i / 1024) WHEN i / 1024 >= 10 THEN format('{:.1f}', i / 1024) ELSE format('{:.2f}', i / 1024) END || ' KB' END AS bytes, CASE WHEN i >= 1000 THEN format('{:.0f}', i / 1000) || 'k' ELSE CAST(i AS VARCHAR) END AS number FROM (SELECT j * 64 + 1 AS i FROM range(2000) t(j))")
+def _bytes_sql() -> str:
+    cases = ""
+    for i, unit in enumerate(scalars.UNITS):
+        v = f"(n::DOUBLE / {1024**i})"
+        text = f"CASE WHEN {v} >= 100 THEN format('{{:.0f}}', {v}) WHEN {v} >= 10 THEN format('{{:.1f}}', {v}) ELSE format('{{:.2f}}', {v}) END || ' {unit}'"
+        cases += f" WHEN n < {1024 ** (i + 1)} THEN {text}" if i + 1 < len(scalars.UNITS) else f" ELSE {text}"
+    return f"CASE{cases} END"
+
+
+SIZES = "SELECT (j % 997 * 2 + 1) * CAST(pow(7, j // 125) AS BIGINT) AS n FROM range(2000) t(j)"
+
+
+@query("format_sizes", f"""SELECT n, {_bytes_sql()} AS bytes, CASE WHEN n >= 1e9 THEN format('{{:.1f}}B', n / 1e9) WHEN n >= 1e6 THEN format('{{:.1f}}M', n / 1e6)
+ WHEN n >= 1000 THEN format('{{:.0f}}', n / 1000) || 'k' ELSE CAST(n AS VARCHAR) END AS number FROM ({SIZES})""")
 def _formats(spark, d):
-    n = F.col("id") * 64 + 1
-    return spark.range(2000).select(n.alias("n"), scalars.fmt_bytes(n).alias("bytes"), scalars.fmt_num(n).alias("number"))
+    n = (F.col("id") % 997 * 2 + 1) * F.pow(F.lit(7.0), F.floor(F.col("id") / 125)).cast("bigint")
+    return spark.range(2000).select(n.alias("n")).select("n", scalars.fmt_bytes(F.col("n")).alias("bytes"), scalars.fmt_num(F.col("n")).alias("number"))
 
 
 @query("crash_writer_fixture", "SELECT i AS seq, 'key:' || i AS key, substr(repeat(i || ':', CAST(ceil(64 / length(i || ':')) AS INT)), 1, 64) AS value, false AS is_tombstone FROM range(500) t(i)")

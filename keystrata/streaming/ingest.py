@@ -17,7 +17,7 @@ def log_stream(spark: SparkSession, path: str, files_per_batch: int | None = Non
 
 
 def ingest(stream: DataFrame, store: KVStore, checkpoint: str) -> StreamingQuery:
-    """Replaying a batch after a failure adds an equal run on top, so the state stays the same."""
+    """Rows keep their versions: late files and a batch replayed after a failure, or after newer writes, change nothing."""
 
     def load(batch: DataFrame, _epoch: int) -> None:
         if not batch.isEmpty():
