@@ -40,10 +40,12 @@ from pyspark.sql import functions as F
 
 from .common import fold, text_or_empty, work_dir
 
-START = np.uint64(0x9E3779B97F4A7C15)
-END = np.uint64(0xD1B54A32D192ED03)
+#: Words are known by 56 bits of their 64-bit hash: a billion distinct words have 7 pairs alike in them.
+WORD_BITS = np.uint64((1 << 56) - 1)
+START = np.uint64(0x9E3779B97F4A7C15) & WORD_BITS
+END = np.uint64(0xD1B54A32D192ED03) & WORD_BITS
 #: Tokens that a map task counts at once, tokens that are scored at once, and tokens a part should hold.
-FLUSH, BATCH, PART = 1_000_000, 400_000, 3_000_000
+FLUSH, BATCH, PART = 3_000_000, 400_000, 3_000_000
 #: Texts of the sample, about; a middle word that holds more than 1 / HOT of a part gets cells of its own.
 SAMPLE, HOT = 4000, 4
 #: Bytes of local copies of a remote model that a worker keeps at most, beyond the file in use.
@@ -51,12 +53,13 @@ LOCAL_BYTES = 1 << 30
 
 
 def tokens(text: str) -> np.ndarray:
-    """64-bit hashes of a text's words, A-Z lower-cased, and the end."""
+    """Hashes of a text's words, A-Z lower-cased, and the end."""
     from xxhash import xxh64_intdigest as digest
 
     words = text.encode("utf-8", "replace").lower().split()
     out = np.empty(len(words) + 1, np.uint64)
     out[:-1] = list(map(digest, words))
+    out &= WORD_BITS
     out[-1] = END
     return out
 
@@ -133,28 +136,44 @@ class _Unpack:
         return out
 
 
+def _planes(a: np.ndarray, size: int) -> bytes:
+    """The low `size` bytes of numbers, byte by byte, which compresses better than number by number."""
+    return np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize)[:, :size].T).tobytes()
+
+
+def _from_planes(raw: np.ndarray, size: int) -> np.ndarray:
+    out = np.zeros((len(raw) // size, 8), np.uint8)
+    out[:, :size] = raw.reshape(size, -1).T
+    return out.view(np.uint64).ravel()
+
+
 def pack_trigrams(u: np.ndarray, v: np.ndarray, w: np.ndarray, c: np.ndarray) -> bytes:
-    """Distinct words once, places in them (planes of bytes), and counts with a table of the large ones."""
+    """Distinct words once, in 7 bytes each; places in them, in order of (v, u, w), v by steps; counts with a table of the large ones."""
     words, place = np.unique(np.concatenate((u, v, w)), return_inverse=True)
-    kind = np.uint16 if len(words) <= 1 << 16 else np.uint32
+    u, v, w = place.astype(np.uint64).reshape(3, -1)
+    if len(words) < 1 << 21:
+        order = np.argsort(v << np.uint64(42) | u << np.uint64(21) | w)
+    else:
+        order = np.lexsort((w, u, v))
+    u, v, w, c = u[order], v[order], w[order], c[order]
+    size = 2 if len(words) <= 1 << 16 else 4
     large = np.flatnonzero(c > 254)
     head = np.array([len(c), len(words), len(large)], np.uint64)
-    planes = place.astype(kind).view(np.uint8).reshape(-1, kind().itemsize).T
-    return head.tobytes() + words.tobytes() + _pack(planes, np.minimum(c, 255).astype(np.uint8), large.astype(np.uint64), c[large].astype(np.uint64))
+    body = b"".join(_planes(x, size) for x in (np.diff(v, prepend=np.uint64(0)), u, w))
+    rest = zlib.compress(body + np.minimum(c, 255).astype(np.uint8).tobytes() + large.astype(np.uint64).tobytes() + c[large].astype(np.uint64).tobytes(), 1)
+    return head.tobytes() + _planes(words, 7) + rest
 
 
 def unpack_trigrams(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     n, n_words, n_large = np.frombuffer(blob, np.uint64, 3).tolist()
-    words = np.frombuffer(blob, np.uint64, n_words, 24)
-    kind = np.uint16 if n_words <= 1 << 16 else np.uint32
-    rest = _Unpack(blob[24 + 8 * n_words :])
-    planes = rest.take(3 * n * kind().itemsize, np.uint8).reshape(kind().itemsize, -1)
-    place = np.ascontiguousarray(planes.T).view(kind).ravel()
+    words = _from_planes(np.frombuffer(blob, np.uint8, 7 * n_words, 24), 7)
+    size = 2 if n_words <= 1 << 16 else 4
+    rest = _Unpack(blob[24 + 7 * n_words :])
+    v, u, w = (_from_planes(rest.take(n * size, np.uint8), size) for _ in range(3))
     c = rest.take(n, np.uint8).astype(np.int64)
     large = rest.take(n_large, np.uint64).astype(np.int64)
     c[large] = rest.take(n_large, np.uint64)
-    u, v, w = words[place].reshape(3, -1)
-    return u, v, w, c
+    return words[u], words[np.cumsum(v)], words[w], c
 
 
 def _filesystem(uri: str):
