@@ -23,8 +23,10 @@ from .common import fold, text_or_empty
 PASSAGE = 100
 PAIRS = 64
 HIDDEN, GATE = 24, 12
-#: Most labelled documents that the model is fitted on.
-SAMPLE = 4000
+#: Most labelled documents that the model is fitted on, and most passages of each.
+SAMPLE, PER_DOCUMENT = 4000, 64
+#: Bytes of text that are encoded at once.
+SLICE = 1_000_000
 
 # Classes of bytes: 0 white space, 1 a-z, 2 A-Z, 3 digits, 4 beyond ASCII, 5 . , ; :, 6 ! ?, 7 symbols, 8 brackets and quotes, 9 the rest.
 CLASSES = 10
@@ -75,7 +77,8 @@ def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         same[1:] = key[1:] == key[:-1]
     x[:, CLASSES + 4] = np.bincount(word_pass[same], minlength=total) / some
     pair = (cls[:-1].astype(np.int64) * 31 + raw[1:] * np.int64(17) + raw[:-1]) % PAIRS
-    x[:, CLASSES + 5 :] = np.bincount(byte_pass[:-1] * PAIRS + pair, minlength=total * PAIRS).reshape(total, PAIRS) / size * 8
+    own = doc_of_byte[:-1] == doc_of_byte[1:]  # a text's features do not depend on its neighbours
+    x[:, CLASSES + 5 :] = np.bincount((byte_pass[:-1] * PAIRS + pair)[own], minlength=total * PAIRS).reshape(total, PAIRS) / size * 8
     return x, n_pass
 
 
@@ -167,6 +170,49 @@ def train(x: np.ndarray, n_pass: np.ndarray, y: np.ndarray, epochs: int = 30, ba
     return Model(mean.astype(np.float32), scale.astype(np.float32), p)
 
 
+def _pieces(text: bytes) -> Iterator[bytes]:
+    """A text in pieces of about SLICE bytes; all but the last hold whole passages, so passages are those of the whole."""
+    lo = 0
+    while len(text) - lo > SLICE:
+        size = SLICE
+        while True:
+            raw = np.frombuffer(text, np.uint8, min(size, len(text) - lo), lo)
+            word = _CLASS[raw] != 0
+            begins = np.flatnonzero(word & np.concatenate(([True], ~word[:-1])))
+            cuts = begins[PASSAGE::PASSAGE]
+            if len(cuts) or lo + size >= len(text):
+                break
+            size *= 2  # words so long that a slice has less than a passage
+        if not len(cuts):
+            break
+        yield text[lo : lo + int(cuts[-1])]
+        lo += int(cuts[-1])
+    yield text[lo:]
+
+
+def encode_all(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """As `encode`, about SLICE bytes at a time, however long a text is."""
+    xs, ns, part, of, size = [], [], [], [], 0
+
+    def flush():
+        x, n = encode(part)
+        xs.append(x)
+        np.add.at(counts, of, n)
+
+    counts = np.zeros(len(texts), np.int64)
+    for i, t in enumerate(texts):
+        for piece in _pieces(t):
+            part.append(piece)
+            of.append(i)
+            size += len(piece)
+            if size >= SLICE:
+                flush()
+                part, of, size = [], [], 0
+    if part:
+        flush()
+    return np.concatenate(xs), counts
+
+
 def _slices(batch, column: int) -> Iterator[tuple[int, list[bytes]]]:
     """Texts as bytes, a few MB at a time."""
     lo, size, part = 0, 0, []
@@ -174,15 +220,23 @@ def _slices(batch, column: int) -> Iterator[tuple[int, list[bytes]]]:
         b = t.as_py().encode("utf-8", "replace")
         part.append(b)
         size += len(b)
-        if size >= 1_000_000:
+        if size >= SLICE:
             yield lo, part
             lo, size, part = i + 1, 0, []
     if part:
         yield lo, part
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learn from labelled rows whose fold is not 0; docs needs doc_id and text, labels doc_id and quality."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, per_document: int = PER_DOCUMENT) -> Model:
+    """Learn from labelled rows whose fold is not 0; docs needs doc_id and text, labels doc_id and quality.
+
+    At most `sample` label rows are taken, the first by a hash of the id, then at most as many rows of
+    `docs` that have such an id, and of each at most `per_document` passages, spread evenly; this is all
+    that reaches the driver. Labels that are null or without an id are left out; an id that is labelled
+    or occurs repeatedly is learnt from as often; ties of the hash go by id, label and text. Null texts
+    are empty. Without labels of both kinds, or without rows, the model gives one score to all. Other
+    columns are not read.
+    """
     ids = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0))
     ids = ids.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)
     rows = docs.sparkSession.createDataFrame([tuple(r) for r in ids.collect()], "id_ bigint, y int")
@@ -193,21 +247,31 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
         for batch in batches:
             for lo, texts in _slices(batch, 2):
-                x, n = encode(texts)
-                ends = np.cumsum(n)
-                blobs = [x[a:b].tobytes() for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True)]
+                x, n = encode_all(texts)
+                blobs = []
+                for end, k in zip(np.cumsum(n).tolist(), n.tolist(), strict=True):
+                    some = np.arange(k) if k <= per_document else np.arange(per_document) * k // per_document
+                    blobs.append(x[end - k + some].tobytes())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(texts)), batch.column(1).slice(lo, len(texts)), pa.array(blobs, pa.binary())], ["doc_id", "y", "x"])
 
-    got = sorted(picked.mapInArrow(encoded, "doc_id bigint, y int, x binary").collect())
+    got = sorted(picked.mapInArrow(encoded, "doc_id bigint, y int, x binary").orderBy(F.xxhash64("doc_id"), "doc_id", "y", "x").limit(sample).collect())
     xs = [np.frombuffer(r.x, np.float32).reshape(-1, WIDTH) for r in got]
     x = np.concatenate(xs) if xs else np.zeros((1, WIDTH), np.float32)
     return train(x.astype(np.float64), np.array([len(a) for a in xs], np.int64), np.array([r.y for r in got], np.float64))
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`keep` columns and score (0 to 1) of each whole text; null and empty texts are one empty passage."""
-    kept = docs.select(*keep, text_or_empty().alias("_text"))
-    schema = kept.drop("_text").schema.add("score", "double")
+    """`keep` columns and score (0 to 1) of each whole text.
+
+    Null and empty texts are one empty passage and get its score; repeated rows get the same score; a
+    null doc_id is carried along. `keep` may not hold a column named score; others may have any name.
+    An empty table gives no rows.
+    """
+    if "score" in keep:
+        raise ValueError("keep a column named score inside a struct")
+    names = [f"c_{i}" for i in range(len(keep))]
+    kept = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)], text_or_empty().alias("t_"))
+    schema = kept.drop("t_").schema.add("score", "double")
 
     def scored(batches) -> Iterator:
         import pyarrow as pa
@@ -215,7 +279,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
         for batch in batches:
             col = batch.num_columns - 1
             for lo, texts in _slices(batch, col):
-                p = model.score(*encode(texts))
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, len(texts)) for i in range(col)), pa.array(p.astype(np.float64))], names=[*keep, "score"])
+                p = model.score(*encode_all(texts))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, len(texts)) for i in range(col)), pa.array(p.astype(np.float64))], names=[*names, "score"])
 
-    return kept.mapInArrow(scored, schema)
+    return kept.mapInArrow(scored, schema).select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], "score")

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, in_order
 
 LENGTH, GRAM = 100, 32
 #: Bytes of text that are hashed at once (places must fit 20 bits), and runs that a task compares at once.
@@ -218,15 +218,6 @@ def removed_runs(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     return whole.unionByName(merged).unionByName(late)
 
 
-def _keyed(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """`docs` with k, unique and in order of doc_id; rows that share an id, or have none, are ordered by text."""
-    rows = docs.select(*[F.col(c).alias(f"c_{i}") for i, c in enumerate(keep)], F.col("doc_id").cast("bigint").alias("k"), F.coalesce("text", F.lit("")).cast("binary").alias("b"))
-    n, ids = rows.select("k").groupBy("k").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("k")).first()
-    if n == ids:
-        return rows
-    return cut(rows.repartitionByRange("k").sortWithinPartitions("k", "b").withColumn("k", F.monotonically_increasing_id()), "keyed")
-
-
 def dedup(docs: DataFrame, length: int = LENGTH, keep: list[str] | None = None, whole: bool = False) -> DataFrame:
     """`keep` columns (all but text, unless named), n_bytes, n_removed, n_spans and kept (the bytes left).
 
@@ -235,7 +226,10 @@ def dedup(docs: DataFrame, length: int = LENGTH, keep: list[str] | None = None,
     table gives no rows. With `whole`, kept has only UTF-8 characters that lost no byte.
     """
     keep = [c for c in docs.columns if c != "text"] if keep is None else keep
-    rows = _keyed(docs, keep)
+    if clash := {"n_bytes", "n_removed", "n_spans", "kept"} & set(keep):
+        raise ValueError(f"keep {sorted(clash)} inside a struct")
+    rows, _ = in_order(docs)
+    rows = rows.select(*[F.col("row")[c].alias(f"c_{i}") for i, c in enumerate(keep)], "k", F.coalesce("text", F.lit("")).cast("binary").alias("b"))
     spans = removed_runs(rows, length).groupBy(F.col("k").alias("k_")).agg(F.collect_list("s").alias("s"), F.collect_list("m").alias("m"))
     names = [f"c_{i}" for i in range(len(keep))]
     joined = rows.join(spans, F.col("k") == F.col("k_"), "left").select(*names, "b", "s", "m")

@@ -1,4 +1,4 @@
-"""The tokenizers library behind a cache of text chunks.
+"""The tokenizers library behind a cache of text chunks. Ids are those of its plain call.
 
 Both vocabularies split a text at white space before any merge, so the ids of a text are those of
 its chunks in order. A chunk is encoded by the library once while it stays in the cache.
@@ -94,7 +94,8 @@ class ChunkedTokenizer:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        #: Strings that the vocabulary takes as one id wherever they stand; a text that holds one is encoded whole.
+        self.special = [t.content.lower() for t in self.model.get_added_tokens_decoder().values()]
         self.cache = _CACHES.setdefault((path, chunks), _Cache())
         self.cache_size, self.at_once = cache_size, at_once
         self.spaced = chunks == KEEPS_BLANKS
@@ -170,6 +171,29 @@ class ChunkedTokenizer:
 
     def encode_column(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """Ids of an Arrow string array without nulls, one text after another, and how many each text has."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        whole = self._whole_texts(texts, pc)
+        if not whole:
+            return self._chunked_column(texts)
+        mask = np.zeros(len(texts), bool)
+        mask[whole] = True
+        ids, sizes = self._chunked_column(pc.if_else(pa.array(mask), "", texts))
+        own = [np.array(self._ids(texts[i].as_py()), np.uint32) for i in whole]
+        at = np.cumsum(sizes)[whole]
+        sizes[whole] = [len(o) for o in own]
+        return np.insert(ids, np.repeat(at, sizes[whole]), np.concatenate(own)), sizes
+
+    def _whole_texts(self, texts, pc) -> list[int]:
+        """Places of texts that hold a special string, in any case."""
+        start = os.path.commonprefix(self.special)[:2] if self.special else ""
+        if not start:
+            return []
+        may = np.flatnonzero(pc.match_substring(texts, start).to_numpy(zero_copy_only=False)) if len(texts) else []
+        return [int(i) for i in may if any(s in (t := texts[int(i)].as_py().lower()) for s in self.special)]
+
+    def _chunked_column(self, texts) -> tuple[np.ndarray, np.ndarray]:
         offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset).astype(np.int64) if len(texts) else np.zeros(1, np.int64)
         data = texts.buffers()[2] if len(texts) else None
         whole = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)

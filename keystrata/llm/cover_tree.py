@@ -23,9 +23,10 @@ from pyspark.sql import functions as F
 
 from .common import cut
 from .components import components
+from .unions import merge
 
 #: Most vectors that a task takes at once from one side, vectors sampled to divide a unit, and its cells.
-CHUNK, SAMPLE, CELLS = 4096, 1024, 64
+CHUNK, SAMPLE, CELLS = 8192, 1024, 64
 #: Levels of division in Spark; what is left then is dealt in chunks.
 DEPTH = 24
 FIRST_RADIUS = 2.0
@@ -180,19 +181,6 @@ def _children(t: CoverTree, level: int, mine: np.ndarray, other: np.ndarray) ->
     return at, np.repeat(other, size)
 
 
-def merge(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Roots after joining i with j; a root is the smallest place of its group."""
-    while True:
-        a, b = root[i], root[j]
-        apart = a != b
-        if not apart.any():
-            return root
-        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
-        while (root[root] != root).any():
-            root = root[root]
-
-
 def visits(x: np.ndarray, centres: np.ndarray, radius: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Home of each point, and (point, cell) of its visits to later cells that may hold a partner."""
     d = distances(x, centres)

@@ -1,28 +1,32 @@
 """SimHash near-duplicates by exact tiled comparison.
 
-Fingerprints within `radius` bits agree on one of radius + 1 bands of bits at least, so only
-fingerprints that share a band are compared, in tiles: numpy exclusive-or and bit counts over
+Of radius + k bands of bits, fingerprints within `radius` bits agree on k at least, so only
+fingerprints that share some k bands are compared, in tiles: numpy exclusive-or and bit counts over
 blocks in order of population count, where a pair of blocks whose counts differ by more than the
-radius is skipped. Bands number radius + 1 and have 12 or 13 bits, so there are at most 36,864
-band keys, whatever the data. A key with more fingerprints than a tile holds is dealt by population
-count into several tiles, and pairs of tiles within the radius become tasks of their own.
+radius is skipped. k follows from the number of fingerprints: more bands send each fingerprint more
+often, and to far fewer others; the links are the same. A key with more fingerprints than a tile holds
+is dealt by population count into several tiles, and pairs of tiles within the radius become tasks of
+their own.
 
 A tile reports links as stars, never all pairs; components are then found on distinct fingerprints.
 
 `similar` links by shingle Jaccard instead. Bits that such a radius needs leave no useful band, so
-every pair of distinct shingle sets is compared, strip by strip, and near pairs are verified.
+every pair of distinct shingle sets of like size is compared, strip by strip, and near pairs are verified.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_or_empty
+from .common import cut, join_counted, text_or_empty
 from .components import components
+from .unions import merge
 
 SEED = 42
 TILE = 2048
@@ -78,41 +82,39 @@ def star_links(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     count = np.bitwise_count(fps)
     order = np.argsort(count, kind="stable")
     fps, count = fps[order], count[order].astype(np.int64)
-    parent = np.arange(len(fps))
-
-    def root(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
+    root = np.arange(len(fps))
     for a in range(0, len(fps), BLOCK):
         x, top = fps[a : a + BLOCK], count[min(a + BLOCK, len(fps)) - 1]
         for b in range(a, len(fps), BLOCK):
             if count[b] - top > radius:
                 break  # this block and all after it have too many ones
-            near = np.bitwise_count(x[:, None] ^ fps[None, b : b + BLOCK]) <= radius
-            i, j = np.nonzero(near)
-            for p, q in zip((i + a).tolist(), (j + b).tolist(), strict=True):
-                if p < q:
-                    r, s = root(p), root(q)
-                    if r != s:
-                        parent[max(r, s)] = min(r, s)
-    roots = np.fromiter((root(i) for i in range(len(fps))), np.int64, len(fps))
-    member = np.flatnonzero(roots != np.arange(len(fps)))
-    return fps[member], fps[roots[member]]
-
-
-def links(fps: DataFrame, radius: int = 4) -> DataFrame:
-    """(a, b) edges that connect all fingerprints within `radius` bits; `fps` has distinct fp values."""
-    n = radius + 1
-    widths = [64 // n + (i < 64 % n) for i in range(n)]
-    keys, at = [], 0
-    for i, w in enumerate(widths):
-        keys.append(F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << w) - 1).cast("bigint")).alias("key")))
-        at += w
+            i, j = np.nonzero(np.bitwise_count(x[:, None] ^ fps[None, b : b + BLOCK]) <= radius)
+            root = merge(root, i + a, j + b)
+    member = np.flatnonzero(root != np.arange(len(fps)))
+    return fps[member], fps[root[member]]
+
+
+def bands(n: int, radius: int, row_cost: int = 1000) -> tuple[list[int], int]:
+    """Widths of the bands, and how many of them a key has, for n fingerprints: cheapest when sending one costs `row_cost` comparisons."""
+    best = None
+    for k in range(1, 6):
+        parts = radius + k
+        widths = [64 // parts + (i < 64 % parts) for i in range(parts)]
+        cost = math.comb(parts, k) * (row_cost + n / 2 ** (64 * k / parts))
+        if best is None or cost < best[0]:
+            best = cost, widths, k
+    return best[1], best[2]
+
+
+def links(fps: DataFrame, radius: int = 4, n: int | None = None) -> DataFrame:
+    """(a, b) edges that connect all fingerprints within `radius` bits; `fps` has distinct fp values, n of them."""
+    widths, k = bands(fps.count() if n is None else n, radius)
+    places = np.cumsum(widths) - widths
+    keys = []
+    for i, some in enumerate(itertools.combinations(range(len(widths)), k)):
+        mask = sum(((1 << widths[b]) - 1) << int(places[b]) for b in some)
+        keys.append(F.struct(F.lit(i).alias("band"), F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("bigint")).alias("key")))
     rows = fps.select("fp", F.bit_count("fp").alias("ones"), F.explode(F.array(*keys)).alias("k")).select("fp", "ones", "k.*")
-    # At most sum(2^width) x 65 rows at any scale.
     hist = cut(rows.groupBy("band", "key", "ones").agg(F.count("*").alias("c")), "bands")
     sizes = hist.groupBy("band", "key").agg(F.sum("c").alias("n"))
     calm = rows.join(sizes.filter(f"n between 2 and {TILE}"), ["band", "key"]).groupBy("band", "key").agg(F.collect_list("fp").alias("fps")).select("fps")
@@ -155,8 +157,8 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataF
     reached = classes.join(roots.withColumnRenamed("node", "fp"), "fp").groupBy("root").agg(F.min("first").alias("component_id"))
     linked = roots.join(reached, "root").select(F.col("node").alias("fp"), "component_id")
     # Only classes with company need a look-up; a document alone is its own component.
-    grouped = classes.join(linked, "fp", "left").filter("n > 1 or component_id is not null").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return f.join(grouped, "fp", "left").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
+    grouped = classes.join(linked, "fp", "left").filter("n > 1 or component_id is not null").select("fp", "n", F.coalesce("component_id", "first").alias("component_id"))
+    return join_counted(f, cut(grouped, "grouped"), "fp").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def sketches(docs: DataFrame, shingle: int, with_set: bool = False) -> DataFrame:
@@ -213,11 +215,31 @@ def _two_strips(key, table) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarr
     return c, *(np.flatnonzero(c["s"] == k.as_py()) for k in key)
 
 
-def reach(nodes: DataFrame, strips: int, radius: int, wide: int) -> DataFrame:
-    """node, n, fp, fp2, its strip s, and the pairs of strips (p, q) where it has a pair; `nodes` has distinct nodes."""
-    s = F.pmod("node", F.lit(strips)).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.lit(strips - 1)))
-    rows = nodes.select("node", "n", "fp", "fp2", s.alias("s"), other.alias("o")).select("node", "n", "fp", "fp2", "s", F.least("s", "o").alias("p"), F.greatest("s", "o").alias("q"))
+#: Sizes of sets in a bucket differ by less than this factor, more than the 1.25 of a pair of Jaccard 0.8, whose buckets are one or neighbours.
+STEP = 1.26
+
+
+def reach(nodes: DataFrame, radius: int, wide: int) -> DataFrame:
+    """node, n, fp, fp2, its strip s, and the pairs of strips (p, q) where it has a pair; `nodes` has distinct nodes.
+
+    Strips are parts of buckets by size, numbered bucket by bucket; a strip meets those of its own
+    bucket and of the two next to it.
+    """
+    bucket = F.when(F.col("n") > 0, F.floor(F.log("n") / math.log(STEP)).cast("int") + 1).otherwise(0)
+    nodes = nodes.withColumn("bucket", bucket)
+    # A row for each factor of STEP in size: some hundred at most.
+    sizes = {r.bucket: r.c for r in nodes.groupBy("bucket").agg(F.count("*").alias("c")).collect()}
+    first, strips = [0], []
+    for b in range(max(sizes, default=0) + 1):
+        strips.append(-(-sizes.get(b, 0) // STRIP))
+        first.append(first[-1] + strips[-1])
+    of = lambda values, at: F.element_at(F.array(*[F.lit(v) for v in values]), at)
+    here = F.col("bucket") + 1
+    s = of(first, here) + F.pmod("node", of([max(1, x) for x in strips], here)).cast("int")
+    low, high = of(first, F.greatest(F.lit(1), here - 1)), of(first, F.least(F.lit(len(first)), here + 2)) - 1
+    rows = nodes.select("node", "n", "fp", "fp2", s.alias("s"), F.explode(F.sequence(low, high)).alias("o"))
+    rows = rows.select("node", "n", "fp", "fp2", "s", F.least("s", "o").alias("p"), F.greatest("s", "o").alias("q"))
+    pairs = sum(a * (a + 1) // 2 + a * b for a, b in zip(strips, [*strips[1:], 0], strict=True))
 
     def compare(key, table):
         c, x, y = _two_strips(key, table)
@@ -226,7 +248,7 @@ def reach(nodes: DataFrame, strips: int, radius: int, wide: int) -> DataFrame:
             found[x[i]] = found[y[j]] = True
         return table.take(np.flatnonzero(found))
 
-    return rows.repartition(strips * (strips + 1) // 2, "p", "q").groupBy("p", "q").applyInArrow(compare, rows.schema)
+    return rows.repartition(max(1, pairs), "p", "q").groupBy("p", "q").applyInArrow(compare, rows.schema)
 
 
 def verified(ends: DataFrame, radius: int, wide: int) -> DataFrame:
@@ -242,20 +264,7 @@ def verified(ends: DataFrame, radius: int, wide: int) -> DataFrame:
         c, x, y = _two_strips(key, table)
         lists = table.column("hashes").combine_chunks()
         flat, cuts = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
-        parent = np.arange(len(c["node"]))
-
-        def root(i):
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        def roots(i):
-            r = parent[i]
-            while (parent[r] != r).any():
-                r = parent[r]
-            return r
-
+        root = np.arange(len(c["node"]))
         out = []
         for i, j in near_pairs(*({k: v[t] for k, v in c.items()} for t in (x, y)), radius, wide):
             i, j = x[i], y[j]
@@ -265,18 +274,18 @@ def verified(ends: DataFrame, radius: int, wide: int) -> DataFrame:
                 mine, others = flat[cuts[a] : cuts[a + 1]], j[i == a]
                 for at in range(0, len(others), BLOCK):
                     bs = others[at : at + BLOCK]
-                    bs = bs[roots(bs) != root(a)]
+                    bs = bs[root[bs] != root[a]]
                     if not len(bs):
                         continue
                     sizes = cuts[bs + 1] - cuts[bs]
                     theirs = np.concatenate([flat[cuts[b] : cuts[b + 1]] for b in bs])
                     both = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
                     common = np.add.reduceat(both, np.cumsum(sizes) - sizes, dtype=np.int64)
-                    for b in bs[9 * common >= 4 * (len(mine) + sizes)].tolist():
-                        p, q = root(a), root(b)
-                        if p != q:
-                            parent[max(p, q)] = min(p, q)
-                            out.append((a, b))
+                    # Of places with one root, one edge connects all.
+                    alike = bs[9 * common >= 4 * (len(mine) + sizes)]
+                    alike = alike[np.unique(root[alike], return_index=True)[1]]
+                    out += [(a, b) for b in alike.tolist()]
+                    root = merge(root, np.full(len(alike), a), alike)
         linked = c["node"][np.array(out, np.int64).reshape(-1, 2)]
         return pa.table({"a": pa.array(linked[:, 0], pa.int64()), "b": pa.array(linked[:, 1], pa.int64())})
 
@@ -292,8 +301,8 @@ def similar(docs: DataFrame, shingle: int = 5, radius: int = 16, wide: int = 22)
     alone. A null doc_id is never the smallest unless all of its component are null.
     """
     f = cut(sketches(docs, shingle), "sketches")
-    classes = cut(f.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("fp2").alias("fp2")), "sets")
-    ends = cut(reach(classes.select("node", "n", "fp", "fp2"), max(4, -(-classes.count() // STRIP)), radius, wide), "ends")
+    classes = cut(f.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("fp2").alias("fp2")), "sets")
+    ends = cut(reach(classes.select("node", "n", "fp", "fp2"), radius, wide), "ends")
     wanted = classes.join(ends.select("node").distinct(), "node").select(F.col("node").alias("end"), "first")
     texts = docs.select("doc_id", "text").join(wanted.select("first").distinct(), F.col("doc_id").cast("bigint").eqNullSafe(F.col("first")), "left_semi")
     sets = sketches(texts, shingle, True).join(wanted, (F.col("node") == F.col("end")) & F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
@@ -302,5 +311,5 @@ def similar(docs: DataFrame, shingle: int = 5, radius: int = 16, wide: int = 22)
     roots = components(alike.select("a", "b"))
     reached = classes.join(roots, "node").groupBy("root").agg(F.min("first").alias("component_id"))
     linked = roots.join(reached, "root").select("node", "component_id")
-    grouped = classes.join(linked, "node", "left").select("node", F.coalesce("component_id", "first").alias("component_id"))
-    return f.join(grouped, "node").select("doc_id", "component_id")
+    grouped = classes.join(linked, "node", "left").select("node", F.col("copies").alias("n"), F.coalesce("component_id", "first").alias("component_id"))
+    return join_counted(f.select("doc_id", "node"), cut(grouped, "grouped"), "node").select("doc_id", "component_id")

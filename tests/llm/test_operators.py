@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from keystrata.llm import attention_mil, bwt_dedup, components, cover_tree, grammar_store, kneser_ney, mixing, packing, quality_rules, sentence_spans, simhash
@@ -41,14 +42,13 @@ def ids_of(name, text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(vocabulary(name))
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("name, chunks", [("byte_bpe_50k.json", KEEPS_BLANKS), ("word_bpe_49k.json", DROPS_BLANKS)])
 def test_chunks_give_the_library_ids(name, chunks):
     tok = ChunkedTokenizer(vocabulary(name), chunks)
-    odd = ["a  b\n\n c\t^ ^^ x~", " ^ ^", "'s don't I'LL", "\x85 \xa0 é　z", "<|endoftext|>a", "\x1f q \x1c", "1234 5,6", " lead", "trail ", *[t or "" for t in TEXTS]]
+    odd = ["a  b\n\n c\t^ ^^ x~", " ^ ^", "'s don't I'LL", "\x85 \xa0 é　z", "<|endoftext|>a", "x  <|endoftext|>  y<|endoftext|>", "<|startoftext|>b <|ENDOFTEXT|> <|x", "a <|", "\x1f q \x1c", "1234 5,6", " lead", "trail ", *[t or "" for t in TEXTS]]
     for t, got in zip(odd, tok.encode_packed(odd), strict=True):
         assert np.frombuffer(got, "<u4").tolist() == ids_of(name, t), t
 
@@ -85,6 +85,24 @@ def test_mixing(spark, docs):
     assert all(abs(r.t - r.g) <= 5 for r in s)
 
 
+def test_mixing_comes_near_targets_with_long_texts(spark):
+    sizes = np.minimum(20_000, np.exp(RNG.normal(5.2, 1.4, 1500)).astype(int) + 1)
+    rows = [(i, "w " * int(n), f"s{i % 6}") for i, n in enumerate(sizes)] + [(None, "w " * 19_000, "s1"), (None, "w w", None), (7, "w " * int(sizes[7]), "s1")]
+    p = mixing.plan(spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(6), fan_in=16).toPandas()
+    p["source"] = p.source.fillna("~")
+    for _, g in p.groupby("source"):
+        taken = (g.copies * g["size"] * g.m).sum()
+        if len(g) > 1:
+            assert abs(taken - g.target.iloc[0]) <= max(0.005 * g.target.iloc[0], g["size"].min() / 2)
+    assert (p.copies <= 3).all()
+
+
+def test_mix_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(i, "a b", "s", i, 2, 3) for i in range(9)], "doc_id bigint, text string, source string, row int, key int, copies int")
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns and mixed.count() == 9 and sorted(r.row for r in mixed.collect()) == list(range(9))
+
+
 def test_targets_share_the_excess(spark):
     t = mixing.targets(spark.createDataFrame([("a", 10, 1), ("b", 1000, 1), (None, 1, 1)], "source string, z bigint, m bigint")).collect()
     got = {r.source: r.target for r in t}
@@ -104,6 +122,39 @@ def test_quality_features(docs):
         assert r.base_failed == (len(w) < 20 or 100 * len(covered) > 30 * len(w)) and not (r.base_failed and r.kept)
 
 
+def test_em_matches_brute_force_and_outvotes_objections(spark):
+    names = list(quality_rules.rules())
+    n = 600
+    good = RNG.random(n) < 0.85
+    votes = np.full((n, len(names)), quality_rules.GOOD)
+    votes[RNG.random(votes.shape) < 0.1] = quality_rules.ABSTAIN
+    for i in np.flatnonzero(~good):  # every kind of junk is seen by some rules together
+        votes[i, RNG.choice(len(names), 5, replace=False)] = quality_rules.BAD
+    lone = np.flatnonzero(good)[:30]
+    votes[lone, RNG.integers(0, len(names), 30)] = quality_rules.BAD
+    rows = spark.createDataFrame([(*map(int, v),) for v in votes], ", ".join(f"{x} int" for x in names))
+    patterns = rows.groupBy(*names).agg(F.count("*").alias("n")).cache()
+    listed = [(r.asDict(), r.n) for r in patterns.collect()]
+    share, objects = quality_rules.start(names)
+    rate = np.array([[objects[r][c] for r in names] for c in (1, 0)])
+    worth, w = quality_rules.objective(listed, names, share, objects), quality_rules.STRENGTH * n
+    for _ in range(12):
+        # The same step on all rows in numpy.
+        like = np.stack([np.prod(np.where(votes == 0, rate[k], np.where(votes == 1, 1 - rate[k], 1)), 1) * p for k, p in ((0, share), (1, 1 - share))])
+        q = like[0] / like.sum(0)
+        of = lambda p, x: ((votes == 0) * p[:, None]).sum(0) + w * x, lambda p: ((votes != 2) * p[:, None]).sum(0) + w
+        rate_ = np.stack([of[0](p, quality_rules.OBJECTS[c]) / of[1](p) for p, c in ((q, 1), (1 - q, 0))])
+        share_ = (q.sum() + w * quality_rules.PRIOR_GOOD) / (n + w)
+        got, objects = quality_rules.step(patterns, names, share, objects)
+        assert got == pytest.approx(share_) and [[objects[r][c] for r in names] for c in (1, 0)] == [pytest.approx(r) for r in rate_]
+        after = quality_rules.objective(listed, names, got, objects)
+        assert after >= worth - 1e-9
+        share, rate, worth = got, rate_, after
+    fitted = quality_rules.fit(patterns, names)
+    kept = [r.k for r in rows.select((quality_rules.posterior(names, *fitted) >= 0.5).alias("k")).collect()]
+    assert np.mean(np.array(kept) == good) > 0.95 and np.mean(np.array(kept)[lone]) > 0.9
+
+
 def test_classifier_learns(spark):
     good, bad = [prose(150) for _ in range(60)], ["#@! $$ " * 60 + prose(40) for _ in range(60)]
     d = frame(spark, [*good, *bad, None, ""])
@@ -130,12 +181,37 @@ def test_grammar_round_trip(docs):
         want = [*ids_of("word_bpe_49k.json", TEXTS[r.doc_id]), 2]
         assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(want), zlib.crc32(np.array(want, "<u4").tobytes()))
         at += len(want)
+
+
+def grammar_of(ids, ends):
+    """The reader, after checking that no pair is left twice and that all documents come back."""
+    left, right, sym, last = grammar_store.repair(ids, ends)
+    seen, taken = collections.Counter(), -1
+    for i in range(len(sym) - 1):
+        if last[i] or i == taken:
+            continue
+        seen[sym[i], sym[i + 1]] += 1
+        taken = i + 1 if sym[i] == sym[i + 1] and not last[i + 1] else -1
+    assert not seen or max(seen.values()) == 1
+    g = grammar_store.Grammar(grammar_store.compress(ids, ends))
+    begins = [0, *ends[:-1].tolist()]
+    assert (g.docs(0, len(ends)) == ids).all() and all((g.doc(i) == ids[a:b]).all() for i, (a, b) in enumerate(zip(begins, ends.tolist(), strict=True)))
+    return g
+
+
+def test_no_pair_is_left_twice():
+    for _ in range(60):
+        ids = RNG.integers(0, int(RNG.integers(1, 7)), int(RNG.integers(1, 400))).astype(np.uint32)
+        grammar_of(ids, np.unique(np.append(RNG.integers(1, len(ids) + 1, 5), len(ids))))
+    one = grammar_of(np.full(200_000, 7, np.uint32), np.array([200_000]))
+    assert len(one.sym) + len(one.left) < 3 * 18
+    phrase = np.tile(RNG.integers(0, 49_000, 400).astype(np.uint32), 500)
+    assert len(grammar_of(phrase, np.array([len(phrase)])).sym) < 20
+    twins = np.repeat(np.arange(6000, dtype=np.uint32), 2)  # many pairs of one symbol each
+    grammar_of(np.concatenate((twins, twins[::-1])), np.array([12_000, 24_000]))
     ids = RNG.integers(0, 9, 5000).astype(np.uint32)
     ends = np.array([1, 700, 2000, 5000])
-    g = grammar_store.Grammar(grammar_store.compress(ids, ends))
-    assert len(g.sym) < 3500 and (g.all_ids() == ids).all() and (g.doc(2) == ids[700:2000]).all() and (g.token_span(650, 2100) == ids[650:2100]).all()
-    wide = grammar_store.Grammar(grammar_store.compress(ids + 70_000, ends))
-    assert (wide.all_ids() == ids + 70_000).all()
+    assert (grammar_of(ids, ends).token_span(650, 2100) == ids[650:2100]).all() and (grammar_of(ids + 70_000, ends).docs(1, 3) == ids[1:2000] + 70_000).all()
 
 
 def brute_windows(texts, n=100):
@@ -176,6 +252,14 @@ def test_refine_finds_repeated_windows():
     assert sorted(at.tolist()) == [p for p in ok if count[joined[p : p + 7]] > 1]
 
 
+def plain_fingerprint(text, k=4):
+    """Bit by bit, from the contract alone."""
+    w = ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x) for x in WORD.findall(text or "")]
+    shingles = [" ".join(w[i : i + k]) for i in range(len(w) - k + 1)] or ([" ".join(w)] if w else [])
+    h = [xxhash.xxh64(x.encode(), seed=42).intdigest() for x in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
 def union(n, pairs):
     root = list(range(n))
     for a, b in pairs:
@@ -184,14 +268,22 @@ def union(n, pairs):
     return root
 
 
-@pytest.mark.parametrize("tile", [2048, 8])
-def test_simhash(spark, docs, monkeypatch, tile):
+@pytest.mark.parametrize("n, k", [(10**5, 1), (10**8, 2), (10**11, 3)])
+def test_bands_follow_the_number_of_fingerprints(n, k):
+    widths, some = simhash.bands(n, 4)
+    assert some >= k and sum(widths) == 64 and len(widths) == 4 + some
+
+
+@pytest.mark.parametrize("tile, some", [(2048, 1), (8, 1), (2048, 3)])
+def test_simhash(spark, docs, monkeypatch, tile, some):
     monkeypatch.setattr(simhash, "TILE", tile)
+    real = simhash.bands
+    monkeypatch.setattr(simhash, "bands", lambda n, radius: real({1: 10, 3: 10**10}[some], radius))
     base = prose(120).split()
     texts = [*TEXTS, *[" ".join(w if RNG.random() > 0.03 else "changed" for w in base) for _ in range(60)]]
     d = frame(spark, texts)
     r = simhash.near_duplicates(d).orderBy("doc_id").collect()
-    fp = np.array([simhash.fingerprint(t or "") for t in texts], np.uint64)
+    fp = np.array([plain_fingerprint(t) for t in texts], np.uint64)
     assert [x.fp for x in r] == fp.view(np.int64).tolist() and fp[0] == 0
     pairs = [(i, j) for i in range(len(fp)) for j in range(i) if int(fp[i] ^ fp[j]).bit_count() <= 4]
     assert [x.component_id for x in r] == union(len(fp), pairs)
@@ -203,12 +295,6 @@ def test_components_of_paths_and_stars(spark):
     assert len({r.root for r in got if r.node >= 100}) == 1 and len({r.root for r in got if r.node < 100}) == 1 and len(got) == 81 + 59
 
 
-def test_sentence_spans(docs):
-    got = {r.doc_id: r for r in sentence_spans.dedup(docs).collect()}
-    assert len(got) == len(TEXTS) and got[0].units == [] and got[5].removed == []
-    assert set(PASSAGE.split()[16:40]) and len(got[6].removed) >= 3 and PASSAGE[:80] not in got[6].kept_text
-
-
 def test_cover_tree(spark):
     base = RNG.normal(size=(40, 8))
     x = np.concatenate([base, base[:20] + RNG.normal(size=(20, 8)) * 0.05, base[:5], base[:5] * 3])
@@ -223,6 +309,87 @@ def test_cover_tree(spark):
     assert all(r[q[0]].n_links == 0 and r[q[0]].kept for q in odd)
 
 
+@pytest.mark.parametrize("chunk, sample", [(8192, 1024), (40, 150), (15, 60)])
+def test_cover_tree_divided(spark, monkeypatch, chunk, sample):
+    monkeypatch.setattr(cover_tree, "CHUNK", chunk)
+    monkeypatch.setattr(cover_tree, "SAMPLE", sample)
+    base = RNG.normal(size=(40, 6))
+    x = base[RNG.integers(0, 40, 500)] + RNG.normal(size=(500, 6)) * 0.08
+    x[490:495] = [[1e200] * 6, [2e200] * 6, [1e-200] * 6, [3e-200, 3e-200, 3e-200, 3e-200, 3e-200, 3e-200], [-1e-300] * 6]
+    label = RNG.integers(0, 2, 500)
+    label[490:495] = 0
+    rows = [(i, int(g), v.tolist(), 1) for i, (v, g) in enumerate(zip(x, label, strict=True))]
+    got = sorted(cover_tree.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<double>, unit int")).collect())
+    u = x / np.abs(x).max(1, keepdims=True)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.98) & (label[:, None] == label)
+    np.fill_diagonal(near, False)
+    assert [r.n_links for r in got] == near.sum(1).tolist() and [r.component_id for r in got] == union(500, np.argwhere(near).tolist())
+    assert near[490, 491] and near[492, 493]
+
+
+def test_units_divide_where_that_pays():
+    base = cover_tree.unit_vectors(RNG.normal(size=(30, 6)))
+    tight = cover_tree.unit_vectors(base[RNG.integers(0, 30, 800)] + RNG.normal(size=(800, 6)) * 0.02)
+    assert len(cover_tree.divide(tight, 0.2)) > 4
+    assert cover_tree.divide(cover_tree.unit_vectors(RNG.normal(size=(800, 64))), 0.2) is None  # no clusters
+    assert cover_tree.divide(cover_tree.unit_vectors(np.ones((800, 8)) + RNG.normal(size=(800, 8)) * 0.001), 0.2) is None  # one cluster
+
+
+def test_scores_do_not_depend_on_neighbours():
+    texts = [prose(30).encode(), b"", prose(120).encode()]
+    x, n = attention_mil.encode(texts)
+    alone = [attention_mil.encode([t])[0] for t in texts]
+    assert n.tolist() == [1, 1, 2] and (x == np.concatenate(alone)).all()
+
+
+def test_long_texts_are_encoded_in_slices(monkeypatch):
+    texts = [prose(2500).encode(), b"", ("x" * 3000 + " ").encode() * 9, prose(130).encode()]
+    whole, n = attention_mil.encode(texts)
+    monkeypatch.setattr(attention_mil, "SLICE", 1500)
+    sliced, m = attention_mil.encode_all(texts)
+    assert n.tolist() == m.tolist() and whole.shape == sliced.shape
+    share = np.abs(whole - sliced).max(0)
+    assert share[: attention_mil.CLASSES + 4].max() < 0.02  # a slice has no white space behind its last word
+
+
+def test_gradient_is_that_of_the_loss():
+    """The score's derivative by every parameter, against differences; training follows it."""
+    x, n = attention_mil.encode([prose(250).encode(), prose(30).encode(), b"#! " * 90])
+    y = np.array([1.0, 1.0, 0.0])
+    m = attention_mil.train(x.astype(float), n, y, epochs=3)
+    loss = lambda: -float((y * np.log(m.score(x, n)) + (1 - y) * np.log(1 - m.score(x, n))).mean())
+    before = loss()
+    m = attention_mil.train(x.astype(float), n, y, epochs=60)
+    assert loss() < before / 2
+    h = m.hidden(x)
+    f = attention_mil.forward(m.p, h, n)
+    a = np.exp((np.tanh(h @ m.p["v"]) / (1 + np.exp(-(h @ m.p["u"])))) @ m.p["w"])
+    at = 0
+    for i, k in enumerate(n.tolist()):  # one document at a time, in plain steps
+        weight = a[at : at + k] / a[at : at + k].sum()
+        z = (weight[:, None] * h[at : at + k]).sum(0)
+        assert f["score"][i] == pytest.approx(1 / (1 + np.exp(-(z @ m.p["c"] + m.p["d"][0]))))
+        at += k
+
+
+def test_names_that_clash_are_refused(spark, docs):
+    with pytest.raises(ValueError):
+        attention_mil.score(docs.withColumn("score", F.lit(1)), None, ("score",))
+    with pytest.raises(ValueError):
+        bwt_dedup.dedup(docs.withColumn("kept", F.lit(1)))
+
+
+def test_no_shared_folder_on_a_cluster_is_an_error():
+    from types import SimpleNamespace
+
+    from keystrata.llm import common
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://far:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.work_dir(session)
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     assert packing.pack(none, vocabulary("byte_bpe_50k.json")).count() == 0
