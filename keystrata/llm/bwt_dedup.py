@@ -6,17 +6,21 @@ smaller id or before in the same one.
 1. Every window of `length` bytes has an anchor: the least hashed gram of GRAM bytes in it. Windows
    that follow each other and share their anchor are a run, about one per 35 bytes, with a context:
    the bytes of all its windows. Equal windows have equal anchors at equal offsets, so only runs
-   with a common anchor can share one. A task sends each of its distinct contexts once; what it
-   has seen before is known to be repeated.
-2. Runs meet by anchor. Repeats of an equal context are repeated whole. Only where an anchor has
-   several contexts, around edits and the ends of shared passages, must their windows be compared.
-3. Those contexts are small shards. Each contributes its transform, the byte before every suffix,
-   and all are merged by refining one interleave: an order by the first h bytes becomes the order by
-   the first h + 1 through a stable counting sort of the transform column. Block borders give the
-   common prefixes; suffixes whose prefix nobody shares leave, since nothing before them can share
-   more. After `length` rounds the blocks are the repeated intervals, and no suffix was re-sorted by
-   comparison. A bucket of anchors is one merge; an anchor whose contexts would outgrow a bucket has
-   its windows grouped by their bytes instead, which combines before the shuffle.
+   with a common anchor can share one. Anchors that a bounded sample of the texts finds frequent are
+   paired with a second anchor, by another hash, and these pairs with a third, so that a common line
+   does not bring all its surroundings together; which anchors are paired never changes the result.
+   A task sends each of its distinct contexts once; what it has seen before is known to be repeated.
+2. Runs meet by anchor. Equal contexts are copies of one string, of which the first stays. Where an
+   anchor has several contexts, around edits and the ends of shared passages, their windows are compared:
+3. The contexts of a bucket of anchors are dealt to shards by document. Each shard is sorted on its own
+   and contributes its Burrows-Wheeler transform, the byte before every suffix. The transforms are
+   merged by refining an interleave, the shard of each suffix in the merged order: reading every shard's
+   transform along the interleave gives the column before the merged suffixes, and a stable counting
+   sort by it turns the order by the first h bytes into the order by the first h + 1. Borders of blocks
+   that are equal so far come along and give the common prefixes; after `length` rounds the blocks are the
+   repeated intervals, and no suffix of one shard was compared with one of another. An anchor whose
+   contexts would outgrow a bucket even so has its windows grouped by their bytes instead, which
+   combines before the shuffle.
 4. Removed ranges meet their documents.
 """
 
@@ -33,19 +37,21 @@ from .common import cut, in_order
 LENGTH, GRAM = 100, 32
 #: Bytes of text that are hashed at once (places must fit 20 bits), and runs that a task compares at once.
 SLICE, FLUSH = 600_000, 400_000
-#: Contexts of one merge, and most contexts of one anchor in it.
-BUCKET, MOST = 3000, 20_000
+#: Contexts of one merge, and most contexts of one anchor in it; shards that are merged.
+BUCKET, MOST, SHARDS = 3000, 6000, 8
+#: Texts of the sample, about; an anchor that holds more than a share of 1 / FREQUENT of its runs, and MIN_SEEN of them, is paired.
+SAMPLE, FREQUENT, MIN_SEEN, LEVELS = 4000, 10_000, 8, 3
 
 
-def grams(raw: np.ndarray) -> np.ndarray:
-    """64-bit hash of the GRAM bytes at each place that has so many."""
+def grams(raw: np.ndarray, level: int = 0) -> np.ndarray:
+    """64-bit hash, one of several, of the GRAM bytes at each place that has so many."""
     n = len(raw) - GRAM + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     word = np.zeros(len(raw) - 7, np.uint64)
     for i in range(8):
         word |= raw[i : len(raw) - 7 + i].astype(np.uint64) << np.uint64(8 * i)
-    h = np.full(n, 0x9E3779B97F4A7C15, np.uint64)
+    h = np.full(n, 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019 * level & (1 << 64) - 1, np.uint64)
     with np.errstate(over="ignore"):
         for i in range(0, GRAM, 8):
             h = (h ^ word[i : i + n]) * np.uint64(0x9FB21C651E98DF25)
@@ -53,16 +59,9 @@ def grams(raw: np.ndarray) -> np.ndarray:
         return h * np.uint64(0xD6E8FEB86659FD93)
 
 
-def _runs(parts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
-    """For the texts of a slice: text number, start, windows, place of the anchor from the start, anchor hash."""
-    joined = b"".join(parts)
-    raw = np.frombuffer(joined, np.uint8)
-    sizes = np.array([len(p) for p in parts], np.int64)
-    begins = np.cumsum(sizes) - sizes
-    width = length - GRAM + 1
-    if len(raw) < length:
-        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),)
-    h = grams(raw)
+def _anchors(raw: np.ndarray, width: int, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Place and hash of the least gram of each window."""
+    h = grams(raw, level)
     v = (h & ~np.uint64(0xFFFFF)) | np.arange(len(h), dtype=np.uint64)
     span = 1
     while 2 * span <= width:
@@ -70,23 +69,75 @@ def _runs(parts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
         span *= 2
     if span < width:
         v = np.minimum(v[: len(v) - (width - span)], v[width - span :])
-    text = np.repeat(np.arange(len(parts)), sizes)[: len(v)]
-    ok = np.arange(len(v)) + length <= (begins + sizes)[text]
-    at = np.flatnonzero(ok)
-    if not len(at):
-        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),)
-    anchor, text = (v[at] & np.uint64(0xFFFFF)).astype(np.int64), text[at]
-    first = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1]) | (at[1:] != at[:-1] + 1))))
-    start = at[first]
-    return text[first], start - begins[text[first]], np.diff(np.append(first, len(at))), anchor[first] - start, h[anchor[first]]
+    place = (v & np.uint64(0xFFFFF)).astype(np.int64)
+    return place, h[place]
 
 
-def _contexts(batches, length: int) -> Iterator[tuple[np.ndarray, ...]]:
+def _runs(parts: list[bytes], length: int, frequent: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For the texts of a slice: text number, start, windows, place of the anchor from the start, anchor hash."""
+    joined = b"".join(parts)
+    raw = np.frombuffer(joined, np.uint8)
+    sizes = np.array([len(p) for p in parts], np.int64)
+    begins = np.cumsum(sizes) - sizes
+    none = (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),)
+    if len(raw) < length:
+        return none
+    anchor, h = _anchors(raw, length - GRAM + 1, 0)
+    text = np.repeat(np.arange(len(parts)), sizes)[: len(anchor)]
+    at = np.flatnonzero(np.arange(len(anchor)) + length <= (begins + sizes)[text])
+    if not len(at):
+        return none
+    anchor, h, text = anchor[at], h[at], text[at]
+    new = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1]) | (at[1:] != at[:-1] + 1)
+    for level in range(1, LEVELS):
+        hot = np.flatnonzero(np.isin(h, frequent)) if len(frequent) else frequent
+        if not len(hot):
+            break
+        place, other = _anchors(raw, length - GRAM + 1, level)
+        with np.errstate(over="ignore"):
+            h[hot] = (h[hot] ^ other[at[hot]]) * np.uint64(0x9FB21C651E98DF25) + np.uint64(level)
+        paired = np.full(len(at), -1, np.int64)
+        paired[hot] = place[at[hot]]
+        new |= paired[1:] != paired[:-1]
+    first = np.flatnonzero(np.concatenate(([True], new)))
+    start = at[first]
+    return text[first], start - begins[text[first]], np.diff(np.append(first, len(at))), anchor[first] - start, h[first]
+
+
+def _frequent(rows: DataFrame, length: int) -> np.ndarray:
+    """Hashes of anchors, and of their pairs, that a sample of about SAMPLE texts has often; fewer than LEVELS * FREQUENT."""
+    share = min(1.0, SAMPLE / max(1, rows.count()))
+    picked = rows.select("b").sample(share, 3) if share < 1 else rows.select("b")
+    known = np.zeros(0, np.uint64)
+    for _ in range(LEVELS - 1):
+        have = known
+
+        def count(batches, have=have) -> Iterator:
+            import pyarrow as pa
+
+            for batch in batches:
+                for t in batch.column(0):
+                    data = t.as_py()
+                    for lo in range(0, len(data), SLICE):
+                        h, c = np.unique(_runs([data[lo : lo + SLICE]], length, have)[4], return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], ["h", "c"])
+
+        counted = picked.mapInArrow(count, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
+        total = counted.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+        often = counted.filter((F.col("c") * FREQUENT > total) & (F.col("c") >= MIN_SEEN)).select("h").collect()
+        found = np.array([r.h & (1 << 64) - 1 for r in often], np.uint64)
+        if not len(found):
+            break
+        known = np.union1d(known, found)
+    return known
+
+
+def _contexts(batches, length: int, frequent: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
     """Runs of whole texts with a hash of their contexts: key, start, windows, anchor place, anchor, context hash."""
     from xxhash import xxh64_intdigest as digest
 
     def handle(keys, bases, parts):
-        text, start, m, o, h = _runs(parts, length)
+        text, start, m, o, h = _runs(parts, length, frequent)
         x = np.array([digest(parts[t][s : s + n + length - 1], n << 8 | a) for t, s, n, a in zip(text.tolist(), start.tolist(), m.tolist(), o.tolist(), strict=True)], np.uint64)
         return np.array(keys, np.int64)[text], np.array(bases, np.int64)[text] + start, m, o, h, x
 
@@ -110,55 +161,104 @@ def _contexts(batches, length: int) -> Iterator[tuple[np.ndarray, ...]]:
         yield handle(keys, bases, parts)
 
 
-def refine(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places in the joined texts whose next `length` bytes occur twice or more, and their block numbers.
-
-    The order of suffixes by their first byte is refined by one byte a round: each suffix stands for
-    the one before it, and the column of bytes before them, the merged transform, is sorted stably.
+class Shard:
+    """Some texts, each with an end after it, in the order of their suffixes by their first `length` symbols."""
+
+    def __init__(self, texts: list[bytes], length: int):
+        sizes = np.array([len(t) for t in texts], np.int64) + 1
+        self.begins = np.cumsum(sizes) - sizes
+        t = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.uint16) + 1
+        t[self.begins + sizes - 1] = 0
+        # Ranks by 7 symbols of 9 bits, then by twice as many each time.
+        key = np.zeros(len(t), np.uint64)
+        for i in range(7):
+            key = key << np.uint64(9) | np.append(t[i:], np.zeros(min(i, len(t)), np.uint16))[: len(t)]
+        done = 7
+        while True:
+            order = np.argsort(key, kind="stable")
+            rank = np.empty(len(t), np.uint64)
+            rank[order] = np.cumsum(np.concatenate(([0], key[order][1:] != key[order][:-1])))
+            if done >= length:
+                break
+            key = rank << np.uint64(32) | np.append(rank[done:], np.zeros(min(done, len(t)), np.uint64))[: len(t)]
+            done *= 2
+        self.order = order
+        before = np.append(t[-1:], t[:-1])
+        before[self.begins] = 0  # the end of a text comes before its first byte
+        self.transform = before[order]
+
+
+def interleave(shards: list[Shard], length: int, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes in the merged order, numbered shard by shard and in each by rank, and their blocks, equal in `length` symbols.
+
+    Suffixes alone in their block are left out, unless the `whole` order is asked for.
     """
-    t = np.frombuffer(b"".join(texts), np.uint8)
-    opens = np.zeros(len(t), bool)
-    opens[np.cumsum([0, *(len(x) for x in texts[:-1])])] = True
-    at = np.argsort(t, kind="stable").astype(np.int32)
-    border = np.ones(len(at), bool)
-    border[1:] = t[at][1:] != t[at][:-1]
-    for _ in range(length - 1):
-        block = np.cumsum(border, dtype=np.int32)
-        keep = ~(border & np.append(border[1:], True)) & ~opens[at]
-        at, block = at[keep] - 1, block[keep]
-        column = t[at]
-        order = np.argsort(column, kind="stable")
-        at, block, column = at[order], block[order], column[order]
+    column = np.concatenate([s.transform for s in shards])
+    size = np.cumsum([0, *(len(s.transform) for s in shards)])
+    # Where a shard's transform sends each rank: its rank with the symbol in front.
+    to = np.empty(len(column), np.int32)
+    for lo, s in zip(size.tolist(), shards, strict=False):
+        to[lo + np.argsort(s.transform, kind="stable")] = np.arange(lo, lo + len(s.transform), dtype=np.int32)
+    at = np.arange(len(column), dtype=np.int32)
+    block = np.zeros(len(at), np.int32)
+    for _ in range(length):
+        symbol = column[at]
+        order = np.argsort(symbol, kind="stable")
+        symbol, block, at = symbol[order], block[order], to[at[order]]
         border = np.ones(len(at), bool)
-        border[1:] = (column[1:] != column[:-1]) | (block[1:] != block[:-1])
-    shared = ~(border & np.append(border[1:], True))[: len(at)]
-    return at[shared].astype(np.int64), np.cumsum(border)[shared]
+        border[1:] = (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])
+        block = np.cumsum(border, dtype=np.int32)
+        if not whole:
+            keep = ~(border & np.append(border[1:], True))
+            at, block = at[keep], block[keep]
+    return at, block
+
+
+def repeated_windows(groups: list[list[bytes]], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Group, text and place of the windows that occur twice or more, and the number of their block."""
+    shards = [Shard(g, length) for g in groups]
+    at, block = interleave(shards, length)
+    size = np.cumsum([0, *(len(s.transform) for s in shards)])
+    group = np.searchsorted(size, at, "right") - 1
+    text, place, fits = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), np.zeros(len(at), bool)
+    for i, (s, g) in enumerate(zip(shards, groups, strict=True)):
+        mine = np.flatnonzero(group == i)
+        start = s.order[at[mine] - size[i]]
+        who = np.searchsorted(s.begins, start, "right") - 1
+        text[mine], place[mine] = who, start - s.begins[who]
+        fits[mine] = place[mine] + length <= np.array([len(t) for t in g], np.int64)[who]
+    return group[fits], text[fits], place[fits], block[fits]
 
 
 def _later_windows(keys: np.ndarray, starts: np.ndarray, texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows (key, start, windows) that also occur earlier among these contexts."""
-    at, block = refine(texts, length)
-    sizes = np.array([len(x) for x in texts], np.int64)
-    begins = np.cumsum(sizes) - sizes
-    who = np.searchsorted(begins, at, "right") - 1
-    key, place = keys[who], starts[who] + at - begins[who]
+    none = (np.zeros(0, np.int64),) * 3
+    if len(texts) < 2:
+        return none
+    shard = keys % min(SHARDS, len(texts))
+    names, shard = np.unique(shard, return_inverse=True)
+    members = [np.flatnonzero(shard == i) for i in range(len(names))]
+    group, text, place, block = repeated_windows([[texts[j] for j in m] for m in members], length)
+    if not len(group):
+        return none
+    which = np.concatenate(members)[(np.cumsum([0, *(len(m) for m in members[:-1])]))[group] + text]
+    key, place = keys[which], starts[which] + place
     order = np.lexsort((place, key, block))
     block, key, place = block[order], key[order], place[order]
-    first = np.ones(len(block), bool)
-    first[1:] = block[1:] != block[:-1]
-    group = np.cumsum(first) - 1
-    lead = np.flatnonzero(first)
-    later = (key != key[lead][group]) | (place != place[lead][group]) if len(lead) else np.zeros(0, bool)
-    key, place = key[later], place[later]
+    first = np.concatenate(([True], block[1:] != block[:-1]))
+    key, place = key[~first], place[~first]
+    if not len(key):
+        return none
     order = np.lexsort((place, key))
     key, place = key[order], place[order]
-    run = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (place[1:] > place[:-1] + 1)))) if len(key) else np.zeros(0, np.int64)
+    run = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (place[1:] > place[:-1] + 1))))
     ends = np.append(run[1:], len(key)) - 1
-    return key[run], place[run], (place[ends] - place[run] + 1) if len(run) else place[run]
+    return key[run], place[run], place[ends] - place[run] + 1
 
 
 def removed_runs(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     """(k, s, m): runs of windows that also start earlier; `rows` has unique k, ordered as documents are, and b (bytes)."""
+    frequent = _frequent(rows, length)
 
     def find(batches) -> Iterator:
         import pyarrow as pa
@@ -175,7 +275,7 @@ def removed_runs(rows: DataFrame, length: int = LENGTH) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(seen), pa.array(h.view(np.int64)), pa.array(x.view(np.int64)), pa.array(k), pa.array(s.astype(np.int32)), pa.array(m.astype(np.int32)), pa.array(o.astype(np.int32))], ["known", "h", "x", "k", "s", "m", "o"])
 
         got, size = [], 0
-        for r in _contexts(batches, length):
+        for r in _contexts(batches, length, frequent):
             got.append(r)
             size += len(r[0])
             if size >= FLUSH:

@@ -243,13 +243,53 @@ def test_suffix_dedup_hot_anchors_and_repeated_ids(spark, monkeypatch):
     assert sorted(x.n_removed for x in r) == [0, 0, len(PASSAGE), len(PASSAGE)] and next(x for x in r if x.doc_id is None).n_removed == 0
 
 
-def test_refine_finds_repeated_windows():
-    texts = [bytes(RNG.integers(97, 99, 60).astype(np.uint8)) for _ in range(8)]
-    at, _ = bwt_dedup.refine(texts, 7)
-    joined, begins = b"".join(texts), np.cumsum([0, *map(len, texts)])
-    ok = [p for b, e in zip(begins, begins[1:], strict=False) for p in range(b, e - 6)]
-    count = collections.Counter(joined[p : p + 7] for p in ok)
-    assert sorted(at.tolist()) == [p for p in ok if count[joined[p : p + 7]] > 1]
+def test_suffix_dedup_pairs_frequent_anchors(spark, monkeypatch):
+    for name, value in (("MIN_SEEN", 2), ("FREQUENT", 10**9)):
+        monkeypatch.setattr(bwt_dedup, name, value)
+    line = "a line that very many documents have in common, word for word. "
+    texts = [prose(15) + line + prose(15) + (PASSAGE if i % 3 == 0 else "") for i in range(24)] + [TEXTS[7], "x" * 3000, TEXTS[7]]
+    d = frame(spark, texts)
+    found = bwt_dedup._frequent(d.selectExpr("cast(text as binary) b"), 100)
+    assert len(found) > 10
+    got = {r.doc_id: bytes(r.kept) for r in bwt_dedup.dedup(d).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_windows(texts)
+
+
+def test_transforms_are_those_of_the_sorted_suffixes():
+    texts = [bytes(RNG.integers(0, 3, 40).astype(np.uint8)) for _ in range(5)] + [b"", b"\xff" * 30]
+    s = bwt_dedup.Shard(texts, 20)
+    joined = [list(x + 1 for x in t) + [0] for t in texts]
+    every = [(w, i) for w, t in enumerate(joined) for i in range(len(t))]
+    flat = [x for t in joined for x in t]
+    of = lambda w, i: flat[sum(map(len, joined[:w])) + i :][:20]
+    places = [(int(np.searchsorted(s.begins, p, "right")) - 1, int(p)) for p in s.order]
+    prefixes = [of(w, p - int(s.begins[w])) for w, p in places]
+    assert prefixes == sorted(prefixes) and len(places) == len(every)
+    assert s.transform.tolist() == [joined[w][p - s.begins[w] - 1] if p > s.begins[w] else 0 for w, p in places]
+
+
+def test_interleave_finds_repeated_windows():
+    for n, size, letters in ((8, 60, 2), (30, 25, 3), (3, 200, 1)):
+        groups = [[bytes(RNG.integers(0, letters, int(RNG.integers(0, size))).astype(np.uint8)) for _ in range(n)] for _ in range(3)]
+        windows = [(g, t, p, x[p : p + 7]) for g, some in enumerate(groups) for t, x in enumerate(some) for p in range(len(x) - 6)]
+        count = collections.Counter(w for *_, w in windows)
+        got = list(zip(*(x.tolist() for x in bwt_dedup.repeated_windows(groups, 7)), strict=True))
+        assert sorted(x[:3] for x in got) == sorted(w[:3] for w in windows if count[w[3]] > 1)
+        by = {w[:3]: w[3] for w in windows}
+        assert len({x[3] for x in got}) == len({by[x[:3]] for x in got}) == len({(x[3], by[x[:3]]) for x in got})
+        # The interleave is the merged order: read through it, suffixes do not fall.
+        shards = [bwt_dedup.Shard(g, 7) for g in groups]
+        at, _ = bwt_dedup.interleave(shards, 7, whole=True)
+        flat = [[x for t in g for x in (*(b + 1 for b in t), 0)] for g in groups]
+        sizes = [len(x) for x in flat]
+        assert sorted(at.tolist()) == list(range(sum(sizes)))
+        prefixes = []
+        for place in at.tolist():
+            k = 0 if place < sizes[0] else 1 if place < sizes[0] + sizes[1] else 2
+            p = int(shards[k].order[place - sum(sizes[:k])])
+            text = flat[k][p : p + 7]
+            prefixes.append(text[: text.index(0) + 1] if 0 in text else text)
+        assert [x for x in prefixes if 0 not in x] == sorted(x for x in prefixes if 0 not in x)
 
 
 def plain_fingerprint(text, k=4):
