@@ -2,6 +2,9 @@
 
 Both vocabularies split a text at white space before any merge, so the ids of a text are those of
 its chunks in order. A chunk is encoded by the library once while it stays in the cache.
+Where the rules of a vocabulary that drops white space are the known ones, chunks are also cut
+between letters and punctuation, A-Z are lowered first, and new chunks of small letters alone, on
+which the other rules do nothing, go to the library's model without these rules.
 
 A column of texts is cut into chunks on its own buffer: numpy finds the borders, Arrow's dictionary
 encoding finds the distinct chunks, only these are looked up, and ids are gathered by place.
@@ -9,7 +12,10 @@ encoding finds the distinct chunks, only these are looked up, and ids are gather
 
 from __future__ import annotations
 
+import functools
+import json
 import os
+import re
 from array import array
 
 import numpy as np
@@ -21,6 +27,17 @@ DROPS_BLANKS = "drops"
 #: Put between chunks that are encoded together, where one of these is a single id.
 MARKS = ("^", "~", "`", "=")
 TOGETHER = 64
+#: Rules of a vocabulary that lowers letters and ends each run of letters where it meets something else.
+_LOWERS = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLITS = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+#: Words that these rules leave as they are, as one piece each.
+_PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
 
 
 class _Cache:
@@ -66,6 +83,8 @@ def _gather(values: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.nda
 _IS_BLANK = np.zeros(256, bool)
 _IS_BLANK[[9, 10, 11, 12, 13, 32]] = True
 _CACHES: dict[tuple[str, str], _Cache] = {}
+_IS_LETTER = np.zeros(256, bool)
+_IS_LETTER[[*range(65, 91), *range(97, 123)]] = True
 
 
 def _blanks(raw: np.ndarray) -> np.ndarray:
@@ -83,6 +102,16 @@ def _blanks(raw: np.ndarray) -> np.ndarray:
     return blank
 
 
+def _rules(part) -> dict | None:
+    return json.loads(part.__getstate__()) if part is not None else None
+
+
+@functools.lru_cache(4)
+def kept_tokenizer(path: str, chunks: str, cache_size: int, at_once: int) -> ChunkedTokenizer:
+    """A tokenizer that the worker process loads once for all its tasks."""
+    return ChunkedTokenizer(path, chunks, cache_size, at_once)
+
+
 class ChunkedTokenizer:
     """The cache belongs to the worker process and serves its next tasks too; full, it takes no more.
 
@@ -99,10 +128,26 @@ class ChunkedTokenizer:
         self.cache = _CACHES.setdefault((path, chunks), _Cache())
         self.cache_size, self.at_once = cache_size, at_once
         self.spaced = chunks == KEEPS_BLANKS
+        self.fine = not self.spaced and _rules(self.model.normalizer) == _LOWERS and _rules(self.model.pre_tokenizer) == _SPLITS
+        self.bare = self._without_rules() if self.fine else None
         self.many = getattr(self.model, "encode_batch_fast", self.model.encode_batch)
         self.mark = next((m for m in MARKS if len(self._ids(" " + m if self.spaced else m)) == 1), None)
         self.mark_id = self._ids(" " + self.mark if self.spaced else self.mark)[0] if self.mark else None
 
+    def _without_rules(self):
+        """The model behind white space alone; None if its ids do not tell where words end."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        suffix = getattr(self.model.model, "end_of_word_suffix", None)
+        if not suffix:
+            return None
+        vocab = self.model.get_vocab(with_added_tokens=False)
+        self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+        bare = Tokenizer(self.model.model)
+        bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        return getattr(bare, "encode_batch_fast", bare.encode_batch)
+
     def _ids(self, text: str) -> list[int]:
         return self.model.encode(text, add_special_tokens=False).ids
 
@@ -111,9 +156,26 @@ class ChunkedTokenizer:
 
         Most are encoded together, apart by a mark; those that may hold it or join with it alone.
         """
-        texts = [c.decode("utf-8") for c in chunks]
+        texts = b" ".join(chunks).decode("utf-8").split(" ") if self.fine and chunks else [c.decode("utf-8") for c in chunks]
         alone, joint, order, found, sizes = [], [], [], [], []
-        for i, c in enumerate(texts):
+        rest = range(len(texts))
+        if self.bare:
+            plain, rest = [], []
+            for i, c in enumerate(texts):
+                (plain if _PLAIN(c) else rest).append(i)
+            for lo in range(0, len(plain), 32_768):
+                part = plain[lo : lo + 32_768]
+                made = self.bare([" ".join([texts[i] for i in part[k : k + TOGETHER]]) for k in range(0, len(part), TOGETHER)], add_special_tokens=False)
+                ids = np.frombuffer(b"".join([array("I", e.ids) for e in made]), np.uint32)
+                last = np.flatnonzero(self.ends_word[ids])
+                if len(last) != len(part) or last[-1] != len(ids) - 1:
+                    rest += part
+                    continue
+                order += part
+                sizes.append(np.diff(last, prepend=-1))
+                found.append(ids)
+        for i in rest:
+            c = texts[i]
             plain = self.mark and self.mark not in c and (c[0] == " " and len(c) > 1 if self.spaced else True)
             (joint if plain else alone).append(i)
         glue = f" {self.mark}" if self.spaced else f" {self.mark} "
@@ -142,6 +204,31 @@ class ChunkedTokenizer:
             return np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
         return np.array(order, np.int64), np.concatenate(found), np.concatenate(sizes)
 
+    def _fine_chunks(self, raw: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes without blanks and A-Z, where chunks begin in these, and where they did in `raw`.
+
+        A piece ends between a letter and an ASCII character that is none, and between an ASCII character
+        that is neither letter nor apostrophe and a letter; nothing joins an ASCII character to what is
+        before it. A capital letter that a combining mark may follow stays.
+        """
+        blank = _blanks(raw)
+        letter = _IS_LETTER[raw]
+        other = raw < 128
+        other &= ~letter
+        apart = other & (raw != 39)
+        start = np.empty(len(raw), bool)
+        start[1:] = apart[:-1] & letter[1:] | blank[:-1]
+        lead = np.flatnonzero(raw[:-1] == 0xC3)  # letters of Latin-1, without the signs of multiplication and division
+        letter[lead + 1] = (raw[lead + 1] != 0x97) & (raw[lead + 1] != 0xB7)
+        start[1:] |= letter[:-1] & other[1:]
+        start[begins] = True
+        start &= ~blank
+        low = raw.copy()
+        capital = np.flatnonzero(raw - 65 < 26)
+        low[capital[raw[np.minimum(capital + 1, len(raw) - 1)] < 0xCA]] |= 32
+        full = ~blank
+        return low[full], np.flatnonzero(start[full]), np.flatnonzero(start)
+
     def _borders(self, raw: np.ndarray, begins: np.ndarray) -> np.ndarray:
         """Where chunks begin. A vocabulary that drops blanks gets each word with those behind it."""
         blank = _blanks(raw)
@@ -210,13 +297,15 @@ class ChunkedTokenizer:
         import pyarrow as pa
 
         n = len(offsets) - 1
+        begins = offsets[:-1][np.diff(offsets) > 0]
+        if len(raw) and self.fine:
+            raw, at, was = self._fine_chunks(raw, begins)
+        elif len(raw):
+            at = was = self._borders(raw, begins)
         if not len(raw):
             return np.zeros(0, np.uint32), np.zeros(n, np.int64)
-        some = np.flatnonzero(np.diff(offsets))
-        begins = offsets[some]
-        at = self._borders(raw, begins)
         chunks = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.append(at, len(raw)).astype(np.int32)), pa.py_buffer(raw)]).dictionary_encode()
-        distinct = chunks.dictionary.to_pylist()
+        distinct = chunks.dictionary.to_numpy(zero_copy_only=False).tolist()
         number = np.fromiter(map(self.cache.number.get, distinct, [-1] * len(distinct)), np.int64, len(distinct))
         fresh, known = np.flatnonzero(number < 0), np.flatnonzero(number >= 0)
         old_ids, old_sizes = self.cache.get(number[known]) if len(known) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
@@ -232,9 +321,8 @@ class ChunkedTokenizer:
         which = chunks.indices.to_numpy()
         each = size[which]
         ids = _gather(np.concatenate((old_ids, new_ids)), begin[which], each)
-        sizes = np.zeros(n, np.int64)
-        sizes[some] = np.add.reduceat(each, np.searchsorted(at, begins))
-        return ids, sizes
+        before = np.concatenate(([0], np.cumsum(each)))
+        return ids, np.diff(before[np.searchsorted(was, offsets)])
 
     def encode_packed(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""

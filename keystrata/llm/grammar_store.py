@@ -26,41 +26,40 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .chunked_tokenizer import DROPS_BLANKS, ChunkedTokenizer
+from .chunked_tokenizer import DROPS_BLANKS, kept_tokenizer
 from .common import cut, text_or_empty
 
 MAGIC = b"KSRP0002"
 #: Slots of the table that finds pairs which occur once, as a power of two.
 BITS = 21
-#: Most pairs of a round that are picked one by one.
-GREEDY = 4096
+#: How often a round looks at pairs that others stand against.
+LOOKS = 8
 #: Documents that are decoded together.
 TOGETHER = 256
+#: Documents that are encoded together, bytes of text that are cut at once, and pieces of text that a
+#: worker remembers; none changes an id.
+ENCODED, AT_ONCE, CACHED = 1024, 2_000_000, 250_000
 SHARDS = "part int, shard int, n_docs bigint, n_tokens bigint, grammar binary"
 
 
-def _compatible(left: np.ndarray, right: np.ndarray, seed: int) -> np.ndarray:
+def _compatible(left: np.ndarray, right: np.ndarray, n_symbols: int) -> np.ndarray:
     """Which pairs, most frequent first, a round takes: no symbol is a left one and a right one of different pairs.
 
-    Few pairs are taken greedily. Of many, symbols are dealt two sides by a hash of the round.
+    A pair is taken when none before it stands against it; those that a taken one stands against are out.
+    What is then left is looked at again, a few times; the rest waits for another round.
     """
-    if len(left) <= GREEDY:
-        lefts, rights, out = set(), set(), np.zeros(len(left), bool)
-        for i, (a, b) in enumerate(zip(left.tolist(), right.tolist(), strict=True)):
-            if a == b:
-                out[i] = a not in lefts and a not in rights
-            else:
-                out[i] = a not in rights and b not in lefts
-            if out[i]:
-                lefts.add(a)
-                rights.add(b)
-        return out
-    equal = left == right
-    if seed % 4 == 3 and equal.any():  # pairs of one symbol each never meet
-        return equal
-    with np.errstate(over="ignore"):
-        side = lambda s: (s.astype(np.uint64) + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(63)
-        return (side(left) == 0) & (side(right) == 1)
+    take, rest = np.zeros(len(left), bool), np.arange(len(left))
+    is_left, is_right = np.zeros(n_symbols, bool), np.zeros(n_symbols, bool)
+    for _ in range(LOOKS):
+        a, b = left[rest], right[rest]
+        first_left, first_right = np.full(n_symbols, len(left)), np.full(n_symbols, len(left))
+        first_left[a[::-1]] = first_right[b[::-1]] = rest[::-1]
+        good = (first_right[a] >= rest) & (first_left[b] >= rest)
+        take[rest[good]] = is_left[a[good]] = is_right[b[good]] = True
+        rest = rest[~(good | is_right[a] | is_left[b])]
+        if not len(rest):
+            break
+    return take
 
 
 def _slots(key: np.ndarray, seed: int, bits: int) -> np.ndarray:
@@ -89,10 +88,11 @@ def repair(ids: np.ndarray, doc_ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
             run = np.flatnonzero(np.concatenate(([True], (p[1:] != p[:-1] + 1) | (sym[p[1:]] != sym[p[:-1]]))))
             odd = (np.arange(len(p)) - np.repeat(run, np.diff(np.append(run, len(p))))) % 2 == 1
             counted[same[odd]] = False
-        if turn < 3 or turn % 4 == 0:
+        if turn % 3 == 2:
             # Pairs by slot of a table: one that is alone in its slot occurs once, and its place is closed for good.
-            slot = _slots(key, turn, BITS)
-            alone = np.bincount(slot, minlength=1 << BITS)[slot] == 1
+            bits = min(BITS, max(8, len(at).bit_length() + 1))
+            slot = _slots(key, turn, bits)
+            alone = np.bincount(slot, minlength=1 << bits)[slot] == 1
             open_[at[alone]] = False
             some = ~alone if counted is None else counted & ~alone
             at, key = at[some], key[some]
@@ -105,17 +105,16 @@ def repair(ids: np.ndarray, doc_ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
         if most < 2:
             break
         chosen = np.flatnonzero(count >= max(2, most // 64))
+        chosen = chosen[np.argsort(most - count[chosen], kind="stable")]
         pairs = ranked[edge[chosen]]
-        if len(pairs) <= GREEDY:
-            pairs = pairs[np.lexsort((pairs, -count[chosen]))]
         left, right = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        take = _compatible(left, right, turn)
+        take = _compatible(left, right, made)
         # A pair whose slot another one has waits for a round with other slots.
         taken = np.flatnonzero(take)[::-1]
         bits = min(BITS, 4 + max(8, int(len(taken)).bit_length()))
         table = np.full(1 << bits, -1, np.int32)
         table[_slots(pairs[taken], turn, bits)] = taken
-        taken = np.unique(table[table >= 0])
+        taken = taken[table[_slots(pairs[taken], turn, bits)] == taken][::-1]
         number = table[_slots(key, turn, bits)]
         turn += 1
         if not len(taken):
@@ -130,10 +129,11 @@ def repair(ids: np.ndarray, doc_ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
         last[at] = last[at + 1]
         keep = np.ones(len(sym), bool)
         keep[at + 1] = False
+        keep = np.flatnonzero(keep)
         # The pair behind a replaced one begins at its first place now.
         behind = at[at + 1 < len(open_)]
         open_[behind] = open_[behind + 1]
-        sym, last, open_ = sym[keep], last[keep], open_[keep[:-1]]
+        sym, last, open_ = sym[keep], last[keep], open_[keep[: np.searchsorted(keep, len(open_))]]
         open_ = open_[: len(sym) - 1] & ~last[:-1]
         lefts.append(left)
         rights.append(right)
@@ -237,7 +237,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 2, shard_tokens:
         from pyspark import TaskContext
 
         part, shard = TaskContext.get().partitionId(), 0
-        tok = ChunkedTokenizer(tokenizer, DROPS_BLANKS)
+        tok = kept_tokenizer(tokenizer, DROPS_BLANKS, CACHED, AT_ONCE)
         doc_ids: list[int | None] = []
         packed: list[np.ndarray] = []
         size = 0
@@ -254,9 +254,9 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 2, shard_tokens:
 
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for lo in range(0, len(ids), 4096):
-                made, ends = tok.encode_with_end(texts.slice(lo, 4096), end_id)
-                for doc, p in zip(ids[lo : lo + 4096], np.split(made, ends[:-1]), strict=True):
+            for lo in range(0, len(ids), ENCODED):
+                made, ends = tok.encode_with_end(texts.slice(lo, ENCODED), end_id)
+                for doc, p in zip(ids[lo : lo + ENCODED], np.split(made, ends[:-1]), strict=True):
                     doc_ids.append(doc)
                     packed.append(p)
                     size += len(p)

@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from keystrata.llm import attention_mil, bwt_dedup, components, cover_tree, grammar_store, kneser_ney, mixing, packing, quality_rules, sentence_spans, simhash
+from keystrata.llm import attention_mil, bwt_dedup, chunked_tokenizer, components, cover_tree, grammar_store, kneser_ney, mixing, packing, quality_rules, sentence_spans, simhash
 from keystrata.llm.chunked_tokenizer import DROPS_BLANKS, KEEPS_BLANKS, ChunkedTokenizer
 from keystrata.llm.queries import vocabulary
 
@@ -53,6 +53,24 @@ def test_chunks_give_the_library_ids(name, chunks):
         assert np.frombuffer(got, "<u4").tolist() == ids_of(name, t), t
 
 
+def test_pieces_end_where_the_rules_end_them():
+    tok = ChunkedTokenizer(vocabulary("word_bpe_49k.json"), DROPS_BLANKS)
+    known = set(tok.cache.number)
+    texts = ["Quixword, quixword. (QUIXWORD)quixword\nquixword;quixword7 Quixword", "quixword quixword "]
+    assert [np.frombuffer(g, "<u4").tolist() for g in tok.encode_packed(texts)] == [ids_of("word_bpe_49k.json", t) for t in texts]
+    assert [c for c in set(tok.cache.number) - known if b"quixword" in c.lower()] == [b"quixword"]  # encoded once, whatever is around it
+    # Marks that join the letter before them, letters that become two, what is no letter, apostrophes.
+    alphabet = list("aHjTEé×÷ßÉİKÅŉσΣ東”‘'’.,-7\x1c\x85 \n\u0300\u0301\u0307\u0308\u0331\u037e'")
+    odd = ["".join(RNG.choice(alphabet, int(RNG.integers(1, 12)))) for _ in range(6000)] + ["H\u0331 T\u0308", "x's'X", "I\u0307.İ.", "a×.b", "Don'T'll"]
+    for t, got in zip(odd, tok.encode_packed(odd), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == tok.model.encode(t, add_special_tokens=False).ids, t
+
+
+def test_grammar_worker_keeps_one_small_tokenizer():
+    args = (vocabulary("word_bpe_49k.json"), DROPS_BLANKS, grammar_store.CACHED, grammar_store.AT_ONCE)
+    assert chunked_tokenizer.kept_tokenizer(*args) is chunked_tokenizer.kept_tokenizer(*args) and grammar_store.CACHED <= 250_000
+
+
 def test_packing(docs):
     got = packing.pack(docs, vocabulary("byte_bpe_50k.json")).toPandas()
     full = {i: [*ids_of("byte_bpe_50k.json", t), 0] for i, t in enumerate(TEXTS)}
@@ -199,6 +217,21 @@ def grammar_of(ids, ends):
     return g
 
 
+def test_many_pairs_of_a_round_are_picked_as_one_by_one():
+    for n_symbols in (3, 40, 6000):
+        pairs = np.unique(RNG.integers(0, n_symbols, (9000, 2)), axis=0)
+        left, right = pairs[RNG.permutation(len(pairs))].T
+        lefts, rights, want = set(), set(), []
+        for a, b in zip(left.tolist(), right.tolist(), strict=True):
+            want.append(a not in rights and b not in lefts and (a != b or a not in lefts and a not in rights))
+            if want[-1]:
+                lefts.add(a)
+                rights.add(b)
+        got = grammar_store._compatible(left, right, n_symbols)
+        assert not (got & ~np.array(want)).any() and got.sum() >= 0.95 * sum(want)
+        assert not set(left[got & (left != right)]) & set(right[got])
+
+
 def test_no_pair_is_left_twice():
     for _ in range(60):
         ids = RNG.integers(0, int(RNG.integers(1, 7)), int(RNG.integers(1, 400))).astype(np.uint32)
