@@ -39,6 +39,8 @@ LENGTH, GRAM = 100, 32
 SLICE, FLUSH = 600_000, 400_000
 #: Contexts of one merge, and most contexts of one anchor in it; shards that are merged.
 BUCKET, MOST, SHARDS = 3000, 6000, 8
+#: Most anchors beyond MOST whose table is broadcast, and rows that a task hands over at once.
+CROWDED, HANDED = 100_000, 50_000
 #: Texts of the sample, about; an anchor that holds more than a share of 1 / FREQUENT of its runs, and MIN_SEEN of them, is paired.
 SAMPLE, FREQUENT, MIN_SEEN, LEVELS = 4000, 10_000, 8, 3
 
@@ -256,6 +258,16 @@ def _later_windows(keys: np.ndarray, starts: np.ndarray, texts: list[bytes], len
     return key[run], place[run], place[ends] - place[run] + 1
 
 
+def _joined(k: np.ndarray, s: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows (key, start, windows), in order; those that follow each other in a text are one."""
+    if not len(k):
+        return k, s, m
+    order = np.lexsort((s, k))
+    k, s, m = k[order], s[order], m[order]
+    first = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (s[1:] != s[:-1] + m[:-1]))))
+    return k[first], s[first], np.add.reduceat(m, first)
+
+
 def removed_runs(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     """(k, s, m): runs of windows that also start earlier; `rows` has unique k, ordered as documents are, and b (bytes)."""
     frequent = _frequent(rows, length)
@@ -264,45 +276,52 @@ def removed_runs(rows: DataFrame, length: int = LENGTH) -> DataFrame:
         import pyarrow as pa
 
         def emit(got):
-            k, s, m, o, h, x = (np.concatenate(c) for c in zip(*got, strict=True))
+            k, s, m, _, h, x = (np.concatenate(c) for c in zip(*got, strict=True))
             order = np.lexsort((s, k, x, h))
-            k, s, m, o, h, x = (c[order] for c in (k, s, m, o, h, x))
+            k, s, m, h, x = (c[order] for c in (k, s, m, h, x))
             seen = np.zeros(len(k), bool)
             seen[1:] = (h[1:] == h[:-1]) & (x[1:] == x[:-1])
-            # A run that is known to be repeated needs no meeting: it is dealt evenly.
+            # A run that is known to be repeated needs no meeting: it joins those next to it and is dealt evenly.
+            ks, ss, ms = _joined(k[seen], s[seen], m[seen])
             with np.errstate(over="ignore"):
-                h = np.where(seen, k.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + s.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93), h)
-            return pa.RecordBatch.from_arrays([pa.array(seen), pa.array(h.view(np.int64)), pa.array(x.view(np.int64)), pa.array(k), pa.array(s.astype(np.int32)), pa.array(m.astype(np.int32)), pa.array(o.astype(np.int32))], ["known", "h", "x", "k", "s", "m", "o"])
+                hs = ks.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + ss.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+            known = np.arange(len(ks) + len(k) - seen.sum()) < len(ks)
+            h, x, k, s, m = (np.concatenate((a, b[~seen])) for a, b in ((hs, h), (np.zeros_like(hs), x), (ks, k), (ss, s), (ms, m)))
+            for lo in range(0, len(k), HANDED):
+                at = slice(lo, lo + HANDED)
+                yield pa.RecordBatch.from_arrays([pa.array(known[at]), pa.array(h[at].view(np.int64)), pa.array(x[at].view(np.int64)), pa.array(k[at]), pa.array(s[at].astype(np.int32)), pa.array(m[at].astype(np.int32))], ["known", "h", "x", "k", "s", "m"])
 
         got, size = [], 0
         for r in _contexts(batches, length, frequent):
             got.append(r)
             size += len(r[0])
             if size >= FLUSH:
-                yield emit(got)
+                yield from emit(got)
                 got, size = [], 0
         if got:
-            yield emit(got)
-
-    runs = rows.select("k", "b").mapInArrow(find, "known boolean, h bigint, x bigint, k bigint, s int, m int, o int")
-    anchor = Window.partitionBy("known", "h")
-    turn = F.row_number().over(Window.partitionBy("known", "h").orderBy("x", "k", "s"))
-    before = F.lag("x").over(Window.partitionBy("known", "h").orderBy("x", "k", "s"))
-    met = runs.withColumn("turn", turn).withColumn("before", before).withColumn("low", F.min("x").over(anchor)).withColumn("high", F.max("x").over(anchor))
-    again = F.col("known") | ((F.col("turn") > 1) & (F.col("before") == F.col("x")))
-    met = met.withColumn("again", again).filter(F.col("again") | (F.col("low") != F.col("high")))
+            yield from emit(got)
+
+    runs = rows.select("k", "b").mapInArrow(find, "known boolean, h bigint, x bigint, k bigint, s int, m int")
+    anchor = Window.partitionBy("known", "h").orderBy("x", "k", "s")
+    high = F.max("x").over(anchor.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    met = runs.withColumn("before", F.lag("x").over(anchor)).withColumn("high", high)
+    again = F.col("known") | F.coalesce(F.col("before") == F.col("x"), F.lit(False))
+    # Contexts are in order: one that is the first of its kind has another before it, or after it.
+    met = met.withColumn("again", again).filter(F.col("again") | F.col("before").isNotNull() | (F.col("x") != F.col("high")))
     met = cut(met.select("again", "h", "k", "s", "m"), "met")
     whole = met.filter("again").select("k", "s", "m")
-    mixed = met.filter("not again")
-
-    wanted = mixed.groupBy(F.col("k").alias("k_")).agg(F.collect_list(F.struct("h", "s", "m")).alias("r"))
-    context = F.struct(F.col("r.h").alias("h"), F.col("r.s").alias("s"), F.expr(f"substring(b, r.s + 1, r.m + {length - 1})").alias("c"))
+    mixed = met.filter("not again").select("h", "k", "s", "m")
+
+    per_anchor = mixed.groupBy("h").agg(F.count("*").alias("n"))
+    n, crowded = per_anchor.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > MOST)).first()
+    hot = F.lit(False)
+    if crowded:
+        often = per_anchor.filter(F.col("n") > MOST).select(F.col("h").alias("h_"))
+        mixed = mixed.join(F.broadcast(often) if crowded <= CROWDED else often, F.col("h") == F.col("h_"), "left")
+        hot = F.col("h_").isNotNull()
+    wanted = mixed.groupBy(F.col("k").alias("k_")).agg(F.collect_list(F.struct("h", "s", "m", hot.alias("hot"))).alias("r"))
+    context = F.struct(F.col("r.h").alias("h"), F.col("r.s").alias("s"), F.col("r.hot").alias("hot"), F.expr(f"substring(b, r.s + 1, r.m + {length - 1})").alias("c"))
     contexts = rows.join(wanted, F.col("k") == F.col("k_")).select("k", "b", F.explode("r").alias("r")).select("k", context.alias("c")).select("k", "c.*")
-    contexts = cut(contexts, "contexts")
-    per_anchor = contexts.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > MOST).select("h")
-    n = contexts.count()
-    calm = contexts.join(per_anchor, "h", "left_anti")
-    hot = contexts.join(per_anchor, "h", "left_semi")
 
     def merge(table):
         import pyarrow as pa
@@ -310,12 +329,17 @@ def removed_runs(rows: DataFrame, length: int = LENGTH) -> DataFrame:
         k, s, m = _later_windows(table.column("k").to_numpy(), table.column("s").to_numpy().astype(np.int64), table.column("c").to_pylist(), length)
         return pa.table({"k": k, "s": s.astype(np.int32), "m": m.astype(np.int32)})
 
-    bucket = F.pmod("h", F.lit(max(1, -(-n // BUCKET))))
-    merged = calm.groupBy(bucket.alias("bucket")).applyInArrow(merge, "k bigint, s int, m int")
-    windows = hot.select("k", F.expr(f"explode(transform(sequence(0, length(c) - {length}), j -> named_struct('s', s + j, 'w', substring(c, j + 1, {length}))))").alias("w")).select("k", "w.*")
+    def merged(contexts):
+        bucket = F.pmod("h", F.lit(max(1, -(-n // BUCKET))))
+        return contexts.select("h", "k", "s", "c").groupBy(bucket.alias("bucket")).applyInArrow(merge, "k bigint, s int, m int")
+
+    if not crowded:
+        return whole.unionByName(merged(contexts))
+    contexts = cut(contexts, "contexts")
+    windows = contexts.filter("hot").select("k", F.expr(f"explode(transform(sequence(0, length(c) - {length}), j -> named_struct('s', s + j, 'w', substring(c, j + 1, {length}))))").alias("w")).select("k", "w.*")
     leads = windows.groupBy("w").agg(F.min(F.struct("k", "s")).alias("lead"), F.count("*").alias("n")).filter("n > 1")
     late = windows.join(leads, "w").filter(F.struct("k", "s") != F.col("lead")).select("k", "s", F.lit(1).alias("m"))
-    return whole.unionByName(merged).unionByName(late)
+    return whole.unionByName(merged(contexts.filter("not hot"))).unionByName(late)
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, keep: list[str] | None = None, whole: bool = False) -> DataFrame:

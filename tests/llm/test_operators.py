@@ -288,6 +288,22 @@ def test_suffix_dedup_pairs_frequent_anchors(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == brute_windows(texts)
 
 
+def test_suffix_dedup_known_copies_meet_as_few_rows(spark, monkeypatch):
+    tables = {}
+
+    def kept(df, name, cut=bwt_dedup.cut):
+        tables[name] = cut(df, name)
+        return tables[name]
+
+    monkeypatch.setattr(bwt_dedup, "cut", kept)
+    texts = [prose(300)] * 9 + [prose(30) + PASSAGE + prose(30) for _ in range(6)]
+    got = {r.doc_id: bytes(r.kept) for r in bwt_dedup.dedup(frame(spark, texts).coalesce(1)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_windows(texts)
+    # A task sends a copy that it has seen as one row, not as one for each anchor; contexts are read once and not written.
+    copies = tables["met"].filter("again and k between 1 and 8").groupBy("k").count().collect()
+    assert [r["count"] for r in copies] == [1] * 8 and set(tables) == {"met"}
+
+
 def test_transforms_are_those_of_the_sorted_suffixes():
     texts = [bytes(RNG.integers(0, 3, 40).astype(np.uint8)) for _ in range(5)] + [b"", b"\xff" * 30]
     s = bwt_dedup.Shard(texts, 20)
