@@ -50,19 +50,20 @@ def grams(raw: np.ndarray, level: int = 0) -> np.ndarray:
     n = len(raw) - GRAM + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    word = np.zeros(len(raw) - 7, np.uint64)
-    for i in range(8):
-        word |= raw[i : len(raw) - 7 + i].astype(np.uint64) << np.uint64(8 * i)
+    word = np.empty(len(raw) - 7, np.uint64)
+    for i in range(min(8, len(word))):  # the eight bytes at each place, by their remainder
+        word[i::8] = raw[i : i + 8 * len(word[i::8])].view("<u8")
     h = np.full(n, 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019 * level & (1 << 64) - 1, np.uint64)
     with np.errstate(over="ignore"):
         for i in range(0, GRAM, 8):
-            h = (h ^ word[i : i + n]) * np.uint64(0x9FB21C651E98DF25)
+            h ^= word[i : i + n]
+            h *= np.uint64(0x9FB21C651E98DF25)
             h ^= h >> np.uint64(32)
         return h * np.uint64(0xD6E8FEB86659FD93)
 
 
 def _anchors(raw: np.ndarray, width: int, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """Place and hash of the least gram of each window."""
+    """Place of the least gram of each window, and the hashes of all grams."""
     h = grams(raw, level)
     v = (h & ~np.uint64(0xFFFFF)) | np.arange(len(h), dtype=np.uint64)
     span = 1
@@ -71,8 +72,12 @@ def _anchors(raw: np.ndarray, width: int, level: int) -> tuple[np.ndarray, np.nd
         span *= 2
     if span < width:
         v = np.minimum(v[: len(v) - (width - span)], v[width - span :])
-    place = (v & np.uint64(0xFFFFF)).astype(np.int64)
-    return place, h[place]
+    return (v & np.uint64(0xFFFFF)).astype(np.int32), h
+
+
+def _among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which hashes are among the known ones, which are in order."""
+    return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h if len(known) else np.zeros(len(h), bool)
 
 
 def _runs(parts: list[bytes], length: int, frequent: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -84,26 +89,36 @@ def _runs(parts: list[bytes], length: int, frequent: np.ndarray) -> tuple[np.nda
     none = (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),)
     if len(raw) < length:
         return none
-    anchor, h = _anchors(raw, length - GRAM + 1, 0)
-    text = np.repeat(np.arange(len(parts)), sizes)[: len(anchor)]
-    at = np.flatnonzero(np.arange(len(anchor)) + length <= (begins + sizes)[text])
-    if not len(at):
-        return none
-    anchor, h, text = anchor[at], h[at], text[at]
-    new = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1]) | (at[1:] != at[:-1] + 1)
+    anchor, grams_ = _anchors(raw, length - GRAM + 1, 0)
+    new = np.ones(len(anchor) + 1, bool)
+    np.not_equal(anchor[1:], anchor[:-1], out=new[1:-1])
+    # The last windows of a text would reach into the next one: they are runs of their own, and left out.
+    past = np.maximum(begins, begins + sizes - length + 1)
+    new[begins[begins < len(anchor)]] = new[past[past < len(anchor)]] = True
+    first = np.flatnonzero(new)
+    start, m = first[:-1], np.diff(first)
+    text = np.searchsorted(begins, start, "right") - 1
+    inside = start < past[text]
+    start, m, text = start[inside], m[inside], text[inside]
+    place = anchor[start].astype(np.int64)
+    h = grams_[place]
     for level in range(1, LEVELS):
-        hot = np.flatnonzero(np.isin(h, frequent)) if len(frequent) else frequent
-        if not len(hot):
+        hot = _among(h, frequent)
+        if not hot.any():
             break
-        place, other = _anchors(raw, length - GRAM + 1, level)
+        paired, grams_ = _anchors(raw, length - GRAM + 1, level)
+        # A run whose anchor is frequent is cut where its second anchor changes.
+        which = np.repeat(np.arange(len(start)), np.where(hot, m, 1))
+        at = start[which] + np.arange(len(which)) - np.searchsorted(which, which)
+        second = np.where(hot[which], paired[at], -1)
+        new = np.flatnonzero(np.concatenate(([True], (which[1:] != which[:-1]) | (second[1:] != second[:-1]))))
+        which, at, second = which[new], at[new], second[new]
+        last = np.append(which[1:] != which[:-1], True)
+        m = np.where(last, (start + m)[which], np.append(at[1:], 0)) - at
+        start, text, place, h = at, text[which], place[which], h[which]
         with np.errstate(over="ignore"):
-            h[hot] = (h[hot] ^ other[at[hot]]) * np.uint64(0x9FB21C651E98DF25) + np.uint64(level)
-        paired = np.full(len(at), -1, np.int64)
-        paired[hot] = place[at[hot]]
-        new |= paired[1:] != paired[:-1]
-    first = np.flatnonzero(np.concatenate(([True], new)))
-    start = at[first]
-    return text[first], start - begins[text[first]], np.diff(np.append(first, len(at))), anchor[first] - start, h[first]
+            h = np.where(second < 0, h, (h ^ grams_[second]) * np.uint64(0x9FB21C651E98DF25) + np.uint64(level))
+    return text, start - begins[text], m, place - start, h
 
 
 def _frequent(rows: DataFrame, length: int) -> np.ndarray:
@@ -177,7 +192,7 @@ class Shard:
             key = key << np.uint64(9) | np.append(t[i:], np.zeros(min(i, len(t)), np.uint16))[: len(t)]
         done = 7
         while True:
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)  # suffixes alike in `length` symbols may come in any order
             rank = np.empty(len(t), np.uint64)
             rank[order] = np.cumsum(np.concatenate(([0], key[order][1:] != key[order][:-1])))
             if done >= length:
@@ -185,6 +200,7 @@ class Shard:
             key = rank << np.uint64(32) | np.append(rank[done:], np.zeros(min(done, len(t)), np.uint64))[: len(t)]
             done *= 2
         self.order = order
+        self.begin_window = np.repeat(self.begins + sizes - 1, sizes)[order] - order >= length
         before = np.append(t[-1:], t[:-1])
         before[self.begins] = 0  # the end of a text comes before its first byte
         self.transform = before[order]
@@ -193,7 +209,7 @@ class Shard:
 def interleave(shards: list[Shard], length: int, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes in the merged order, numbered shard by shard and in each by rank, and their blocks, equal in `length` symbols.
 
-    Suffixes alone in their block are left out, unless the `whole` order is asked for.
+    Suffixes that begin no window and those alone in their block are left out, unless the `whole` order is asked for.
     """
     column = np.concatenate([s.transform for s in shards])
     size = np.cumsum([0, *(len(s.transform) for s in shards)])
@@ -202,6 +218,16 @@ def interleave(shards: list[Shard], length: int, whole: bool = False) -> tuple[n
     for lo, s in zip(size.tolist(), shards, strict=False):
         to[lo + np.argsort(s.transform, kind="stable")] = np.arange(lo, lo + len(s.transform), dtype=np.int32)
     at = np.arange(len(column), dtype=np.int32)
+    if not whole:
+        # Only what arrives at a window's first symbol has to go: the transforms, read backwards, tell where that starts.
+        back = np.empty_like(to)
+        back[to] = at
+        at = at[np.concatenate([s.begin_window for s in shards])]
+        for bit in range(length.bit_length()):
+            if length >> bit & 1:
+                at = back[at]
+            back = back[back]
+        at.sort()
     block = np.zeros(len(at), np.int32)
     for _ in range(length):
         symbol = column[at]

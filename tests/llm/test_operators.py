@@ -288,6 +288,25 @@ def test_suffix_dedup_pairs_frequent_anchors(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == brute_windows(texts)
 
 
+def test_runs_of_a_slice_are_those_of_each_text():
+    texts = [t.encode() for t in TEXTS if t] + [b"x" * 99, b"y" * 100, b""]
+    for frequent in (np.zeros(0, np.uint64), np.unique(bwt_dedup._runs(texts, 100, np.zeros(0, np.uint64))[4])[::3]):
+        got = list(zip(*(x.tolist() for x in bwt_dedup._runs(texts, 100, frequent)), strict=True))
+        alone = [bwt_dedup._runs([t], 100, frequent) for t in texts]
+        assert got == [(i, *row[1:]) for i, x in enumerate(alone) for row in zip(*(c.tolist() for c in x), strict=True)]
+        # Each window is in one run, and holds its anchor.
+        assert sorted((i, s + j) for i, s, m, _, _ in got for j in range(m)) == [(i, p) for i, t in enumerate(texts) for p in range(len(t) - 99)]
+        assert all(m - 1 <= o <= 100 - bwt_dedup.GRAM for _, _, m, o, _ in got)
+
+
+def test_merge_moves_only_what_begins_windows(monkeypatch):
+    seen = []
+    monkeypatch.setattr(bwt_dedup.np, "cumsum", lambda *a, f=np.cumsum, **k: (seen.append(len(a[0])) if k.get("dtype") is np.int32 else None) or f(*a, **k))
+    groups = [[prose(8).encode()[:60] for _ in range(40)] for _ in range(2)]
+    bwt_dedup.interleave([bwt_dedup.Shard(g, 50) for g in groups], 50)
+    assert seen and max(seen) == sum(max(0, len(t) - 49) for g in groups for t in g)
+
+
 def test_suffix_dedup_known_copies_meet_as_few_rows(spark, monkeypatch):
     tables = {}
 
