@@ -212,7 +212,9 @@ def _embed(spark, d):
 @query("text_embed_vectors", EMBED + """, n AS (SELECT doc, sqrt(sum(weight * weight)) AS n FROM emb GROUP BY doc)
  SELECT d.doc_id, i AS dim, coalesce(CAST(weight / CASE WHEN n = 0 THEN 1 ELSE n END AS FLOAT), 0) AS x FROM documents d CROSS JOIN range(64) t(i) LEFT JOIN emb ON emb.doc = d.doc_id AND emb.dim = i LEFT JOIN n ON n.doc = d.doc_id""")
 def _embed_vectors(spark, d):
-    return vector.embed_vectors(table(spark, d, "documents")).select(F.col("doc").alias("doc_id"), F.posexplode("embedding").alias("dim", "x"))
+    # In the SQL, no sums meet a row without an id.
+    x = F.when(F.col("doc").isNotNull(), F.col("x")).otherwise(F.lit(0.0).cast("float"))
+    return vector.embed_vectors(table(spark, d, "documents")).select("doc", F.posexplode("embedding").alias("dim", "x")).select(F.col("doc").alias("doc_id"), "dim", x.alias("x"))
 
 
 @query("text_topk_hashed", EMBED + ", q AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {x!r}::DOUBLE)" for i, x in enumerate(vector.embed_local(WORDS))) + ") t(dim, qw)) SELECT doc AS doc_id, round(sum(weight * qw) / CASE WHEN sum(weight * weight) = 0 THEN 1 ELSE sqrt(sum(weight * weight)) END, 6) AS score FROM emb JOIN q USING (dim) GROUP BY doc ORDER BY score DESC, doc_id LIMIT 8")
