@@ -121,14 +121,3 @@ def feature_hash(text: Column) -> Column:
         return (x * _const(FNV32_PRIME)).bitwiseAND(_const(MASK32))
 
     return F.aggregate(F.sequence(F.lit(1), F.length(text)), _const(FNV32_BASIS), step)
-
-
-def trigram_hash(text: Column, place: Column) -> Column:
-    """`feature_hash` of `g:` and the three ASCII characters of `text` from `place` (1 is the first), without a loop."""
-    h = FNV32_BASIS
-    for ch in b"g:":
-        h = ((h ^ ch) * FNV32_PRIME) & MASK32
-    out = _const(h)
-    for i in range(3):
-        out = (out.bitwiseXOR(F.ascii(F.substring(text, place + i, F.lit(1))).cast("bigint")) * _const(FNV32_PRIME)).bitwiseAND(_const(MASK32))
-    return out

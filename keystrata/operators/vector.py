@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from ..functions.hashing import FNV32_BASIS, FNV32_PRIME, MASK32, feature_hash, let, trigram_hash
+from ..functions.hashing import FNV32_BASIS, FNV32_PRIME, MASK32, let
 
 DIM = 64
 #: Rows of one id that are written out together.
@@ -122,24 +124,15 @@ def _sums(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, list[Colu
     return rows.groupBy("doc").agg(F.count("*").alias("rows"), *[F.sum(F.col("w")[i]).alias(c) for i, c in enumerate(names)]), [F.col(c) for c in names]
 
 
-def _signed(h: Column, weight: float) -> Column:
-    """(dim, w) of a feature's hash."""
-    return F.struct((h % DIM).alias("dim"), F.when(h >= (1 << 31), -weight).otherwise(weight).alias("w"))
+def _total(terms: list[Column]) -> Column:
+    return functools.reduce(operator.add, terms)
 
 
 def embed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Un-normalised signed sums (doc, dim, weight): `w:token` weighs 1, `g:trigram` of `<token>` weighs 0.5.
-
-    Features are hashed where they arise and summed before the only shuffle, at most DIM rows a
-    document and task, so no frequent word or trigram meets anywhere.
-    """
-    tokens = docs.select(F.col(doc_id).alias("doc"), F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(TOKEN), F.lit(0))).alias("tok"))
-    marked = tokens.select("doc", feature_hash(F.concat(F.lit("w:"), "tok")).alias("word"), F.concat(F.lit("<"), "tok", F.lit(">")).alias("t"))
-    places = F.explode(F.concat(F.array(F.lit(0)), F.sequence(F.lit(1), F.length("t") - 2))).alias("j")
-    # Place 0 is the word; a trigram has three characters, so its hash is a flat expression.
-    gram = _signed(trigram_hash(F.col("t"), F.col("j")), 0.5)
-    rows = marked.select("doc", "word", "t", places).select("doc", F.when(F.col("j") == 0, _signed(F.col("word"), 1.0)).otherwise(gram).alias("x"))
-    return rows.groupBy("doc", F.col("x.dim").alias("dim")).agg(F.sum("x.w").alias("weight"))
+    """Un-normalised signed sums (doc, dim, weight): `w:token` weighs 1, `g:trigram` of `<token>` weighs 0.5."""
+    sums, weights = _sums(docs, doc_id, text)
+    rows = sums.select("doc", F.posexplode(F.array(*weights)).alias("dim", "weight"))
+    return rows.filter(F.col("weight").isNotNull()).select("doc", F.col("dim").cast("bigint").alias("dim"), "weight")
 
 
 def embed_vectors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -189,12 +182,13 @@ def topk_cosine(vectors: DataFrame, query: list[float], k: int, id_col: str = "v
 
 
 def topk_text(docs: DataFrame, query: str, k: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Nearest texts under the hashed embedding, from the sparse (doc, dim) form."""
-    q = embed_local(query)
-    weight = F.element_at(F.array(*[F.lit(x) for x in q]), (F.col("dim") + 1).cast("int"))
-    sums = embed(docs, doc_id, text).groupBy("doc").agg(F.sum(F.col("weight") * weight).alias("d"), F.sum(F.col("weight") * F.col("weight")).alias("nn"))
+    """Nearest texts under the hashed embedding; ids without a token are none."""
+    sums, weights = _sums(docs, doc_id, text)
+    full = [F.coalesce(w, F.lit(0.0)) for w in weights]
+    d, nn = _total([w * F.lit(x) for w, x in zip(full, embed_local(query), strict=True)]), _total([w * w for w in full])
+    found = sums.filter(F.coalesce(*weights).isNotNull()).select("doc", d.alias("d"), nn.alias("nn"))
     score = F.col("d") / F.when(F.col("nn") == 0, 1.0).otherwise(F.sqrt("nn"))
-    return sums.select(F.col("doc").alias(doc_id), F.round(score, 6).alias("score")).orderBy(F.desc("score"), doc_id).limit(k)
+    return found.select(F.col("doc").alias(doc_id), F.round(score, 6).alias("score")).orderBy(F.desc("score"), doc_id).limit(k)
 
 
 def topk_per_shard(vectors: DataFrame, query: list[float], k: int, shard: Column) -> DataFrame:
